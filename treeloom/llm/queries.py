@@ -8,6 +8,26 @@ from pyspark.sql import functions as F
 from ._shared import table
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, by the word tokenizer, in sequences of at most 2048 tokens."""
+    import public_tokenizers
+
+    from .packing import best_fit_packing
+
+    return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0)
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, by the byte tokenizer, written as token files and read back."""
+    import public_tokenizers
+
+    from .rans import read_token_files, token_folder, write_token_files
+
+    folder = token_folder(spark)
+    files = write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder, end_id=0)
+    return read_token_files(files, folder)
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash near-duplicates of all documents: 4-word shingles, 4 or fewer differing bits."""
     from .simhash import fingerprint_hex, near_duplicates
@@ -17,7 +37,7 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op7_simhash_dedup,)}
+    return {f.__name__: f for f in (op5_best_fit_packing, op6_token_files, op7_simhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
