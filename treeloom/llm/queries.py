@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from ._shared import table
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learned from three quarters of them."""
+    from .language import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, by the word tokenizer, in sequences of at most 2048 tokens."""
     import public_tokenizers
@@ -37,7 +44,7 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_best_fit_packing, op6_token_files, op7_simhash_dedup)}
+    return {f.__name__: f for f in (op2_language_id, op5_best_fit_packing, op6_token_files, op7_simhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
