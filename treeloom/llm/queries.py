@@ -43,8 +43,15 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality selection of all documents towards those labelled good."""
+    from .quality import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_language_id, op5_best_fit_packing, op6_token_files, op7_simhash_dedup)}
+    return {f.__name__: f for f in (op2_language_id, op5_best_fit_packing, op6_token_files, op7_simhash_dedup, op10_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
