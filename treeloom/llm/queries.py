@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from ._shared import table
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mix of all documents: sources weigh 1, 2, 3 in turn and are passed three times at most; in training order."""
+    from .mixing import plan
+
+    found = plan(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3.0)
+    return found.select("doc_id", "size", "source_size", "target", "taken", "position").repartitionByRange("position").sortWithinPartitions("position", "doc_id")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents, learned from three quarters of them."""
     from .language import identify
@@ -51,7 +59,7 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_language_id, op5_best_fit_packing, op6_token_files, op7_simhash_dedup, op10_importance_resampling)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_language_id, op5_best_fit_packing, op6_token_files, op7_simhash_dedup, op10_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
