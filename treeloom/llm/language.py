@@ -229,3 +229,15 @@ def identify(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     known = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
     out = predict(docs, train(known, settings))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.4) -> DataFrame:
+    """Rows of ``docs``, with their columns, whose language is told with a score of at least ``least``.
+
+    Texts that are null, empty or without letters go.  Without a model no row can be told and all with letters stay.
+    """
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    names = {c: f"treeloom {i}" for i, c in enumerate(docs.columns) if c in ("lang_pred", "score")}
+    found = predict(docs.withColumnsRenamed(names), model, keep=True).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return found.drop("lang_pred", "score").withColumnsRenamed({v: k for k, v in names.items()}).select(*[F.col(f"`{c}`") for c in docs.columns])
