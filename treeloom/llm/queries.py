@@ -51,6 +51,15 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op9_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, written as WARC bundles and read back."""
+    from .warc import archive_folder, read_archives, write_archives
+
+    folder = archive_folder(spark)
+    bundles = write_archives(table(spark, sf_dir, "pages"), folder)
+    return read_archives(bundles, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality selection of all documents towards those labelled good."""
     from .quality import resample
@@ -59,8 +68,22 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_source_mixing, op2_language_id, op5_best_fit_packing, op6_token_files, op7_simhash_dedup, op10_importance_resampling)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_language_id, op5_best_fit_packing, op6_token_files, op7_simhash_dedup, op9_warc_bundles, op10_importance_resampling)}
+
+
+OP9_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages
+), g AS (
+  SELECT d, n, max(page_id) AS response FROM p WHERE n >= 1000 GROUP BY d, n
+)
+SELECT page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+  CASE WHEN response IS NULL OR response = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN response <> page_id THEN response END AS refers_to
+FROM p LEFT JOIN g ON p.d = g.d AND p.n = g.n
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express an operator; the others are tested against brute force."""
+    return {"op9_warc_bundles": OP9_SQL}
