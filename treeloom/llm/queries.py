@@ -23,6 +23,14 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest of every hundredth vector among all vectors."""
+    from .neighbours import nearest
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, by the word tokenizer, in sequences of at most 2048 tokens."""
     import public_tokenizers
@@ -68,7 +76,7 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_source_mixing, op2_language_id, op5_best_fit_packing, op6_token_files, op7_simhash_dedup, op9_warc_bundles, op10_importance_resampling)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_language_id, op4_nearest_neighbours, op5_best_fit_packing, op6_token_files, op7_simhash_dedup, op9_warc_bundles, op10_importance_resampling)}
 
 
 OP9_SQL = """
