@@ -59,6 +59,14 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate embeddings of equal label, by cosine of 0.98 or more."""
+    from .lattice import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "embeddings"), least=0.98)
+    return found.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
 def op9_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages, written as WARC bundles and read back."""
     from .warc import archive_folder, read_archives, write_archives
@@ -76,7 +84,7 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_source_mixing, op2_language_id, op4_nearest_neighbours, op5_best_fit_packing, op6_token_files, op7_simhash_dedup, op9_warc_bundles, op10_importance_resampling)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_language_id, op4_nearest_neighbours, op5_best_fit_packing, op6_token_files, op7_simhash_dedup, op8_lattice_dedup, op9_warc_bundles, op10_importance_resampling)}
 
 
 OP9_SQL = """
