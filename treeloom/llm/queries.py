@@ -23,6 +23,14 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op3_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preference pairs of all conversations: the last answer against a stale one."""
+    from .preferences import format_preferences, span_text, stale_answers
+
+    found = format_preferences(*stale_answers(table(spark, sf_dir, "conversations")))
+    return found.select("pair_id", "n_common", "prompt", "chosen", span_text("chosen_spans").alias("chosen_spans"), "rejected", span_text("rejected_spans").alias("rejected_spans"))
+
+
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest of every hundredth vector among all vectors."""
     from .neighbours import nearest
@@ -84,8 +92,41 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_source_mixing, op2_language_id, op4_nearest_neighbours, op5_best_fit_packing, op6_token_files, op7_simhash_dedup, op8_lattice_dedup, op9_warc_bundles, op10_importance_resampling)}
-
+    return {f.__name__: f for f in (op1_source_mixing, op2_language_id, op3_preference_format, op4_nearest_neighbours, op5_best_fit_packing, op6_token_files, op7_simhash_dedup, op8_lattice_dedup, op9_warc_bundles, op10_importance_resampling)}
+
+
+OP3_SQL = """
+WITH c AS (
+  SELECT conv_id AS pair_id, turn, role, text,
+    max(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id) AS final,
+    lag(text) OVER (PARTITION BY conv_id, role ORDER BY turn, text) AS before
+  FROM conversations
+), sides AS (
+  SELECT 'a' AS side, pair_id, turn, role, text FROM c WHERE turn <= final
+  UNION ALL
+  SELECT 'b', pair_id, turn, role, CASE WHEN role = 'assistant' AND turn = final THEN coalesce(before, '') ELSE text END FROM c WHERE turn <= final
+), t AS (
+  SELECT side, pair_id, coalesce(role, 'user') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY side, pair_id ORDER BY turn, coalesce(role, 'user'), coalesce(text, '')) AS pos
+  FROM sides WHERE pair_id IS NOT NULL
+), n AS (
+  SELECT pair_id, coalesce(min(CASE WHEN differs THEN pos END) - 1, max(pos)) AS n_common FROM (
+    SELECT a.pair_id, a.pos, NOT (a.role = b.role AND a.text = b.text) AS differs
+    FROM t a JOIN t b ON a.pair_id = b.pair_id AND a.pos = b.pos WHERE a.side = 'a' AND b.side = 'b'
+  ) GROUP BY pair_id
+), r AS (
+  SELECT t.*, n_common, '<|' || role || '|>' || chr(10) AS head, text || '<|end|>' || chr(10) AS body FROM t JOIN n USING (pair_id)
+), p AS (
+  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY side, pair_id, pos > n_common ORDER BY pos) AS stop FROM r
+)
+SELECT pair_id, CAST(any_value(n_common) AS BIGINT) AS n_common,
+  coalesce(string_agg(head || body, '' ORDER BY pos) FILTER (WHERE side = 'a' AND pos <= n_common), '') AS prompt,
+  coalesce(string_agg(head || body, '' ORDER BY pos) FILTER (WHERE side = 'a' AND pos > n_common), '') AS chosen,
+  coalesce(string_agg((stop - length(body)) || '-' || stop, ',' ORDER BY pos) FILTER (WHERE side = 'a' AND pos > n_common AND role = 'assistant'), '') AS chosen_spans,
+  coalesce(string_agg(head || body, '' ORDER BY pos) FILTER (WHERE side = 'b' AND pos > n_common), '') AS rejected,
+  coalesce(string_agg((stop - length(body)) || '-' || stop, ',' ORDER BY pos) FILTER (WHERE side = 'b' AND pos > n_common AND role = 'assistant'), '') AS rejected_spans
+FROM p GROUP BY pair_id
+"""
 
 OP9_SQL = """
 WITH p AS (
@@ -102,4 +143,4 @@ FROM p LEFT JOIN g ON p.d = g.d AND p.n = g.n
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express an operator; the others are tested against brute force."""
-    return {"op9_warc_bundles": OP9_SQL}
+    return {"op3_preference_format": OP3_SQL, "op9_warc_bundles": OP9_SQL}
