@@ -13,7 +13,7 @@ from .operators import graph, info, inference, mixture, mst, resample, reshape,
 from .operators.counts import counts1, counts2
 from .plans.lifecycle import compare_methods, kl_by_trees, learn_tree
 from .sources import embedding_signs, lineitem_codes, log_density_lines, number_lines, order_codes, repeat_columns, repeat_rows, to_adjacency
-from .storage import saved
+from .storage import reachable, saved
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -30,6 +30,7 @@ def _query(sql: str | None = None):
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
@@ -9,6 +10,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def reachable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, if it isn't installed there."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; in local mode only, a temporary folder where that is unset."""
     sc = spark.sparkContext
