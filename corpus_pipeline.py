@@ -28,8 +28,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near-duplicates."""
-    return simhash.keep_first(docs, most=4, width=5)
+    """One document, that with the smallest id, of each group whose 5-word shingles are similar by 0.8 or more."""
+    return simhash.keep_first(docs, width=5, least=0.8)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

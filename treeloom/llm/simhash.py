@@ -9,6 +9,9 @@ keys (24 bits and the pair's number); candidates of a bucket are verified by the
 
 Exact copies are folded before (one row per distinct fingerprint), and a bucket yields a spanning forest of its links
 rather than all pairs, so groups of thousands of copies stay linear.
+
+``near_duplicates`` links by the distance of fingerprints.  ``similar_documents`` takes the same buckets, of two
+fingerprints, as candidates for a similarity of shingle sets.
 """
 
 from __future__ import annotations
@@ -95,30 +98,52 @@ def _word_parts(data: bytes) -> Iterator[list[bytes]]:
     yield (data[at:] if at else data).split()
 
 
-def fingerprint(text: str | None, width: int = 4) -> int:
-    """SimHash of a whole text over its shingles of ``width`` words; 0 without words."""
+def shingle_hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
+    """XXH64 (seed 42) of a whole text's shingles of ``width`` words, part by part.
+
+    A-Z are lower-cased and words are joined by one space.  A text with fewer words is one shingle; one without words
+    has none.
+    """
     import xxhash
 
     digest = xxhash.xxh64_intdigest
-    ones, total = np.zeros(64, dtype=np.int64), 0
-    carry: list[bytes] = []
+    found, carry = False, []
     for words in _word_parts((text or "").encode("utf-8", "surrogatepass").lower()):
         words = carry + words
         carry = words[-(width - 1) :] if width > 1 else []
         if len(words) < width:
             continue
         line = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = (ends - np.fromiter(map(len, words), np.int64, len(words)) - 1)[: len(words) - width + 1].tolist()
-        hashes = np.array([digest(line[s:e], 42) for s, e in zip(starts, (ends[width - 1 :] - 1).tolist())], dtype="<u8")
-        total += len(hashes)
-        for at in range(0, len(hashes), 1 << 16):
-            ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    if not total and carry:
-        ones, total = np.unpackbits(np.array([digest(b" ".join(carry), 42)], dtype="<u8").view(np.uint8), bitorder="little").astype(np.int64), 1
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(lengths + 1) - 1
+        starts = (ends - lengths)[: len(words) - width + 1].tolist()
+        found = True
+        yield np.array([digest(line[s:e], 42) for s, e in zip(starts, ends[width - 1 :].tolist())], dtype="<u8")
+    if not found and carry:
+        yield np.array([digest(b" ".join(carry), 42)], dtype="<u8")
+
+
+def _set_bits(hashes: np.ndarray) -> np.ndarray:
+    """How many hashes have each of the 64 bits."""
+    total = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        total += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return total
+
+
+def _majority(ones: np.ndarray, total: int) -> int:
     return int(sum(1 << i for i in np.flatnonzero(2 * ones > total).tolist()))
 
 
+def fingerprint(text: str | None, width: int = 4) -> int:
+    """SimHash of a whole text: bits that are set in over half its shingles' hashes; 0 without words."""
+    ones, total = np.zeros(64, dtype=np.int64), 0
+    for hashes in shingle_hashes(text, width):
+        ones += _set_bits(hashes)
+        total += len(hashes)
+    return _majority(ones, total)
+
+
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """``doc_id, fp``: the fingerprint as a signed long; a null text has no words."""
 
@@ -212,12 +237,153 @@ def fingerprint_hex(fp):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_first(docs: DataFrame, most: int = 4, width: int = 4) -> DataFrame:
-    """Rows of ``docs`` without near-duplicates: of each component the document with the smallest id stays.
+# ---------------------------------------------------------------- by similarity of shingle sets
+
+#: Bits of 128 in which two fingerprint pairs of one bucket may differ to be compared by their sketches.
+LOOSE_BITS = 31
+#: Smallest shingle hashes that a sketch holds; sets up to this size are compared exactly.
+SKETCH = 256
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """A second hash of each hash."""
+    h = (h ^ np.uint64(0x1234567)) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def describe(text: str | None, width: int) -> tuple[int, int, np.ndarray]:
+    """Two fingerprints, and the sketch: the smallest distinct 32-bit hashes of the shingles in ascending order."""
+    a, b, total, sketch = np.zeros(64, np.int64), np.zeros(64, np.int64), 0, np.zeros(0, np.uint32)
+    for hashes in shingle_hashes(text, width):
+        second = _mixed(hashes)
+        a, b, total = a + _set_bits(hashes), b + _set_bits(second), total + len(hashes)
+        sketch = np.unique(np.concatenate([sketch, (second >> np.uint64(32)).astype(np.uint32)]))[:SKETCH]
+    return _majority(a, total), _majority(b, total), sketch
+
+
+def _similar(one: np.ndarray, flat: np.ndarray, row: np.ndarray, tops: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Jaccard similarity of one sketch with others (``flat`` hashes of ``row``), below the lower of both tops."""
+    top = np.minimum(tops, one[-1] if len(one) == SKETCH else np.uint32(0xFFFFFFFF))
+    at = np.searchsorted(one, flat)
+    same = (at < len(one)) & (one[np.minimum(at, len(one) - 1)] == flat) & (flat <= top[row])
+    both = np.bincount(row[same], minlength=len(sizes))
+    mine = np.searchsorted(one, top, side="right")
+    theirs = np.bincount(row[flat <= top[row]], minlength=len(sizes))
+    return both / np.maximum(1, mine + theirs - both)
+
+
+def similar_documents(docs: DataFrame, width: int = 5, least: float = 0.8, block: int = 2048) -> DataFrame:
+    """``doc_id, component_id``: documents linked by a similarity of ``least`` or more of their sets of shingles.
+
+    Candidates share a Golay bucket of one of two fingerprints and differ in few of all 128 bits; what they connect is
+    compared again by sketches (exact up to ``SKETCH`` shingles), block against block, and only those links count.
+    Documents with equal fingerprints are one class from the start.  Nulls, empty texts, repeated rows and further
+    columns are treated as by ``near_duplicates``.
+    """
+
+    def spell(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                rows = [describe(t.as_py(), width) for t in part.column(1)]
+                prints = [pa.array(np.array([r[k] for r in rows], dtype=np.uint64).view(np.int64)) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *prints, pa.array([r[2].tobytes() for r in rows], pa.binary())], names=["doc_id", "a", "b", "sketch"])
+
+    def spread(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 2000):
+                part = b.slice(at, 2000)
+                for f in (0, 1):
+                    rows, keys = bucket_keys(part.column(f).to_numpy(zero_copy_only=False).view(np.uint64))
+                    taken = part.take(pa.array(rows))
+                    yield pa.RecordBatch.from_arrays([pa.array((keys + (3 * f << 24)).astype(np.int32)), taken.column(0), taken.column(1)], names=["key", "a", "b"])
+
+    def loose(batches):
+        held, width_ = np.zeros((0, 3), np.int64), ["a1", "b1", "a2", "b2"]
+
+        def close(rows):
+            cuts = np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1
+            starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(rows)]])
+            out = []
+            for i in np.flatnonzero(ends - starts > 1):
+                left = rows[starts[i] : ends[i], 1:].view(np.uint64)
+                while len(left) > 1:
+                    queue, left = [left[0]], left[1:]
+                    while queue and len(left):
+                        at = queue.pop()
+                        near = np.bitwise_count(left ^ at).sum(axis=1) <= LOOSE_BITS
+                        if near.any():
+                            found = left[near]
+                            out.append(np.concatenate([np.broadcast_to(at, found.shape), found], axis=1))
+                            queue.extend(found)
+                            left = left[~near]
+            both = np.concatenate(out) if out else np.zeros((0, 4), np.uint64)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, k].copy().view(np.int64)) for k in range(4)], names=width_)
+
+        for b in batches:
+            held = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns], axis=1)])
+            if not len(held) or held[0, 0] == held[-1, 0]:  # one bucket so far: it may go on
+                continue
+            last = int(np.searchsorted(held[:, 0], held[-1, 0]))
+            yield close(held[:last])
+            held = held[last:]
+        if len(held):
+            yield close(held)
+
+    def verify(batches):
+        for b in batches:
+            for nodes, sketches in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                yield from _verified(np.array(nodes), [np.frombuffer(x, np.uint32) for x in sketches], least)
+
+    prints = written(only(docs, "doc_id", "text").mapInArrow(spell, "doc_id long, a long, b long, sketch binary"), "prints")
+    node = F.xxhash64("a", "b")
+    classes = written(prints.groupBy("a", "b").agg(F.min("doc_id").alias("first_id"), F.min("sketch").alias("sketch")).withColumn("node", node), "classes")
+    keyed = classes.select("a", "b").mapInArrow(spread, "key int, a long, b long")
+    near = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(loose, "a1 long, b1 long, a2 long, b2 long")
+    groups = connected_components(near.select(F.xxhash64("a1", "b1").alias("src"), F.xxhash64("a2", "b2").alias("dst"))).withColumnRenamed("node", "m")
+    members = classes.join(groups, classes.node == groups.m).select("component", "node", "sketch")
+    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "component").withColumn("own", F.pmod("node", F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = dealt.groupBy("component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))  # about two blocks at most
+    tasks = pairs.agg(F.collect_list("node").alias("nodes"), F.collect_list("sketch").alias("sketches")).where("size(nodes) > 1")
+    linked = connected_components(tasks.select("nodes", "sketches").mapInArrow(verify, "src long, dst long")).withColumnRenamed("node", "m")
+    named = classes.join(linked, classes.node == linked.m).select("a", "b", "component", "first_id")
+    low = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    labels = named.join(low, "component").select("a", "b", "component_id")
+    ids = classes.join(labels, ["a", "b"], "left").select("a", "b", F.coalesce("component_id", "first_id").alias("component_id"))
+    return prints.select("doc_id", "a", "b").join(ids, ["a", "b"]).select("doc_id", "component_id")
+
+
+def _verified(nodes: np.ndarray, sketches: list[np.ndarray], least: float):
+    """Spanning forest of the verified links of one pair of blocks."""
+    left = np.arange(len(nodes))
+    while len(left) > 1:
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            at = queue.pop()
+            sizes = np.array([len(sketches[i]) for i in left])
+            flat = np.concatenate([sketches[i] for i in left]) if sizes.sum() else np.zeros(0, np.uint32)
+            row = np.repeat(np.arange(len(left)), sizes)
+            tops = np.array([sketches[i][-1] if len(sketches[i]) == SKETCH else 0xFFFFFFFF for i in left], dtype=np.uint32)
+            if len(sketches[at]):
+                near = _similar(sketches[at], flat, row, tops, sizes) >= least
+            else:
+                near = sizes == 0
+            if near.any():
+                found = left[near]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), nodes[at])), pa.array(nodes[found])], names=["src", "dst"])
+                queue.extend(found.tolist())
+                left = left[~near]
+
+
+def keep_first(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """Rows of ``docs`` without near-duplicates: of each ``similar_documents`` component the smallest id stays.
 
     Of several rows with that id one stays.  Rows whose ``doc_id`` is null can't be named and all stay.
     """
-    found = near_duplicates(docs, most, width)
+    found = similar_documents(docs, width, least)
     ids = found.where("doc_id = component_id").select("doc_id").distinct()
     from pyspark.sql import Window
 
