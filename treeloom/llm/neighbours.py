@@ -123,6 +123,26 @@ def _matrix(column, dims: int) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
 
 
+def _best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, norms: np.ndarray, k: int) -> pa.RecordBatch:
+    """The ``k`` nearest of each query in a block, by distances in double precision."""
+    out: tuple[list, list, list] = ([], [], [])
+    near = norms[None, :] - 2 * q @ x.T  # for the choice; exact below
+    near[q_ids[:, None] == ids[None, :]] = np.inf
+    m = min(4 * k, len(x))
+    for i in range(len(q)):
+        best = np.argpartition(near[i], m - 1)[:m] if m < len(x) else np.arange(len(x))
+        if m < len(x):
+            edge = near[i][best].max()
+            if np.sort(near[i][best])[k - 1] >= edge - 1e-9:  # many ties: take all that may belong
+                best = np.flatnonzero(near[i] <= edge + 1e-9)
+        best = best[ids[best] != q_ids[i]]
+        d = np.sqrt(((x[best] - q[i]) ** 2).sum(axis=1))
+        order = np.lexsort((ids[best], d))[:k]
+        for column, values in zip(out, ([q_ids[i]] * len(order), ids[best][order].tolist(), d[order].tolist())):
+            column.extend(values)
+    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, settings: Settings | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each query the ``k`` nearest vectors found, by Euclidean distance.
 
@@ -179,32 +199,33 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, settings: Setti
     many = spark.createDataFrame(large or [(-1, -1, 1)], "tree int, leaf int, parts int")  # leaves larger than a block
     index = index.join(F.broadcast(many), ["tree", "leaf"], "left").select("vec_id", "v", "tree", "leaf", F.pmod(F.xxhash64("vec_id"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
 
-    def compare(key, rows: pa.Table, asked: pa.Table) -> pa.Table:
-        out = {"query_id": [], "vec_id": [], "score": []}
-        if rows.num_rows and asked.num_rows:
-            x, ids = _matrix(rows.column("v").combine_chunks(), dims), rows.column("vec_id").to_numpy()
-            qs, q_ids = _matrix(asked.column("v").combine_chunks(), dims), asked.column("query_id").to_numpy()
-            norms = (x * x).sum(axis=1)
-            for at in range(0, len(qs), 256):
-                q = qs[at : at + 256]
-                near = norms[None, :] - 2 * q @ x.T  # for the choice; exact below
-                near[q_ids[at : at + 256][:, None] == ids[None, :]] = np.inf
-                for i in range(len(q)):
-                    m = min(4 * k, len(x))
-                    best = np.argpartition(near[i], m - 1)[:m] if m < len(x) else np.arange(len(x))
-                    edge = near[i][best].max() if m < len(x) else np.inf
-                    if m < len(x) and np.sort(near[i][best])[k - 1] >= edge - 1e-9:  # many ties: take all that may belong
-                        best = np.flatnonzero(near[i] <= edge + 1e-9)
-                    best = best[ids[best] != q_ids[at + i]]
-                    d = np.sqrt(((x[best] - q[i]) ** 2).sum(axis=1))
-                    order = np.lexsort((ids[best], d))[:k]
-                    out["query_id"] += [q_ids[at + i]] * len(order)
-                    out["vec_id"] += ids[best][order].tolist()
-                    out["score"] += d[order].tolist()
-        return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
+    def compare(batches):
+        at, x, ids, norms, held = None, None, None, None, []
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(4)], axis=1)
+            cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]])
+            for start, stop in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                key, kind = tuple(keys[start, :3].tolist()), int(keys[start, 3])
+                some = b.slice(start, stop - start)
+                v, row_ids = _matrix(some.column(5), dims), some.column(4).to_numpy()
+                if key != at:
+                    at, x, held = key, None, []
+                if kind == 0:  # the block's vectors come first
+                    held.append((v, row_ids))
+                elif held:
+                    if x is None:
+                        x, ids = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+                        norms = (x * x).sum(axis=1)
+                    for i in range(0, len(v), 256):
+                        yield _best(v[i : i + 256], row_ids[i : i + 256], x, ids, norms, k)
 
     keys = ["tree", "leaf", "part"]
-    pairs = index.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInArrow(compare, "query_id long, vec_id long, score double")
+    rows = index.select(*keys, F.lit(0).alias("kind"), F.col("vec_id").alias("id"), "v").union(probes.select(*keys, F.lit(1), F.col("query_id"), "v"))
+    # a task holds one block of vectors and one batch of queries at a time
+    pairs = rows.repartition(*keys).sortWithinPartitions(*keys, "kind").mapInArrow(compare, "query_id long, vec_id long, score double")
     once = pairs.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
