@@ -86,6 +86,8 @@ def test_e8_points_are_nearest():
 def test_lattice_links(table):
     rows = vectors()
     got = lattice.near_duplicates(table, 0.98, lattice.Settings(block=16)).collect()
+    dealt = lattice.near_duplicates(table, 0.98, lattice.Settings(block=16, cell_block=10)).collect()
+    assert Counter(map(tuple, dealt)) == Counter(map(tuple, got))
     ok = [k for k, r in enumerate(rows) if r[0] is not None and r[2] is not None and (r[0] < 1000)]
     x = np.array([rows[k][1] for k in ok])
     x /= np.linalg.norm(x, axis=1, keepdims=True)

@@ -23,12 +23,15 @@ from .neighbours import usable
 
 @dataclass(frozen=True)
 class Settings:
-    """``cell``: edge of the lattice's unit for unit vectors; ``probes``: neighbouring cells; ``block``: rows compared at once."""
+    """``cell``: edge of the lattice's unit for unit vectors; ``probes``: neighbouring cells; ``block``: rows
+    compared at once; ``cell_block``: vectors of a cell beyond which it is dealt into blocks.
+    """
 
     tables: int = 4
     cell: float = 0.75
     probes: int = 3
     block: int = 1024
+    cell_block: int = 8192
     seed: int = 23
 
 
@@ -134,7 +137,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, settings: Settings
     clean, other = rows.where(fit), rows.where(~fit)
     distinct = written(clean.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vectors")
 
-    def file(batches):
+    def file(batches, whole=True):
         known: dict[int, list] = {}
         for b in batches:
             for at in range(0, b.num_rows, 2000):
@@ -149,11 +152,17 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, settings: Settings
                         c = cells(x @ q + shift, s.probes)
                         r = np.repeat(np.arange(len(x)), 1 + s.probes)
                         taken = some.take(pa.array(r))
-                        names = ["label", "v", "rep", "tab", "cell"]
-                        yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(np.full(len(r), t + 1000 * dims, np.int32)), pa.array(c.reshape(-1, 8).tolist(), pa.list_(pa.int64()))], names=names)
-
-    filed = distinct.select("label", "v", "rep").mapInArrow(file, "label string, v array<double>, rep long, tab int, cell array<long>")
-    keyed = filed.select(F.xxhash64("label", "tab", "cell").alias("key"), "rep", "v", "label")
+                        names = [*(["label", "v", "rep"] if whole else ["label"]), "tab", "cell"]
+                        yield pa.RecordBatch.from_arrays([*(taken.columns if whole else taken.columns[:1]), pa.array(np.full(len(r), t + 1000 * dims, np.int32)), pa.array(c.reshape(-1, 8).tolist(), pa.list_(pa.int64()))], names=names)
+
+    source, cell_key = distinct.select("label", "v", "rep"), F.xxhash64("label", "tab", "cell").alias("key")
+    filed = source.mapInArrow(file, "label string, v array<double>, rep long, tab int, cell array<long>")
+    # cells with many vectors are dealt into blocks, and every pair of blocks is a run of its own
+    keys = source.mapInArrow(lambda bs: file(bs, False), "label string, tab int, cell array<long>").select(cell_key)
+    large = keys.groupBy("key").agg(F.ceil(F.count("*") / s.cell_block).cast("int").alias("blocks")).where("blocks > 1")
+    keyed = filed.select(cell_key, "rep", "v", "label").join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    keyed = keyed.withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keyed = keyed.select(F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("b", "o"), F.greatest("b", "o"))).alias("key"), "rep", "v", "label")
 
     def verify(table):
         if table.num_rows < 2:
