@@ -243,13 +243,15 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
     def count(batches):
         total = np.zeros(1, dtype=np.int64)
         for b in batches:
-            for ids, width in zip(b.column(0), b.column(1).to_pylist()):
-                values = np.frombuffer(ids.as_buffer(), dtype=f"<u{width}")
-                if len(values):
-                    top = int(values.max()) + 1
-                    if top > len(total):
-                        total = np.concatenate([total, np.zeros(top - len(total), np.int64)])
-                    total[:top] += np.bincount(values)
+            for at in range(0, b.num_rows, 2000):  # many documents at once: a count is as long as the vocabulary
+                part = b.slice(at, 2000)
+                for width in set(part.column(1).to_pylist()):
+                    values = np.frombuffer(b"".join(x for x, w in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if w == width), dtype=f"<u{width}")
+                    if len(values):
+                        top = int(values.max()) + 1
+                        if top > len(total):
+                            total = np.concatenate([total, np.zeros(top - len(total), np.int64)])
+                        total[:top] += np.bincount(values)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[found])], names=["id", "n"])
 
