@@ -24,7 +24,9 @@ PART_CHARS = 1 << 19
 
 @dataclass(frozen=True)
 class Settings:
-    """``fit_docs`` bounds the sample that weights and temperature are fitted on; texts of at most ``fit_chars`` first.
+    """``fit_docs``: expected size of the sample that weights and temperature are fitted on, shared evenly by languages.
+
+    It never exceeds twice that number, texts of at most ``fit_chars`` first, and one document for a language left out.
 
     Besides its whole text, each sampled document longer than two windows gives one of ``window`` characters, so that
     weights and temperature hold for short texts too.
@@ -152,15 +154,14 @@ def train(labelled: DataFrame, settings: Settings | None = None) -> Model | None
     idf = np.log((1.0 + df[-1]) / (1.0 + df[:-1])) + 1.0
     quota = max(1, s.fit_docs // len(sizes))
     mark = F.xxhash64(F.col("doc_id"), F.lit("fit"))
-    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, 1.3 * quota / n))) for lang, n in sizes.items()])
-    drawn = rows.where((F.pmod(mark, F.lit(1 << 20)) / float(1 << 20)) < share)
-    sample = drawn.select("doc_id", "text", "lang", mark.alias("mark"), (F.length("text") > s.fit_chars).alias("long")).orderBy("long", "mark", "doc_id").limit(s.fit_docs)
-    if sample.groupBy("lang").count().count() < len(sizes):  # tiny tables: a language may have drawn nothing
-        sample = rows.select("doc_id", "text", "lang", mark.alias("mark"), (F.length("text") > s.fit_chars).alias("long"))
-        from pyspark.sql import Window
-
-        few = sample.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("long", "mark", "doc_id"))).where(F.col("r") <= quota)
-        sample = few.select("doc_id", "text", "lang", "mark", "long")
+    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, quota / n))) for lang, n in sizes.items()])
+    columns = ["doc_id", "text", "lang", "mark"]
+    rows = rows.withColumn("mark", mark)
+    drawn = rows.where((F.pmod("mark", F.lit(1 << 20)) / float(1 << 20)) < share).orderBy(F.length("text") > s.fit_chars, "mark", "doc_id").limit(2 * s.fit_docs).select(*columns)
+    sample = drawn
+    if missing := set(sizes) - {r.lang for r in drawn.select("lang").distinct().collect()}:  # rare ones give one document each
+        one = rows.where(F.col("lang").isin(sorted(missing))).groupBy("lang").agg(F.min_by(F.struct("doc_id", "text", "mark"), F.struct("mark", "doc_id")).alias("r"))
+        sample = drawn.unionByName(one.select("r.doc_id", "r.text", "lang", "r.mark"))
 
     def features(batches):
         for b in batches:
@@ -175,7 +176,7 @@ def train(labelled: DataFrame, settings: Settings | None = None) -> Model | None
                     marks.append(mark)
             yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array(marks, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))], names=["lang", "mark", "ids", "shares"])
 
-    found = sample.select("doc_id", "text", "lang", "mark").mapInArrow(features, "lang string, mark long, ids array<int>, shares array<float>").toPandas()  # at most 2 * fit_docs rows
+    found = sample.select(*columns).mapInArrow(features, "lang string, mark long, ids array<int>, shares array<float>").toPandas()  # at most 4 * fit_docs rows and two per language
     found = found.assign(k=lambda d: d.ids.map(len)).sort_values(["mark", "lang", "k"], kind="stable")
     languages = sorted(sizes)
     at = {lang: i for i, lang in enumerate(languages)}
