@@ -335,6 +335,27 @@ def test_similar_documents(spark):
     assert small == got
 
 
+def test_similarity_of_long_texts_is_exact(spark):
+    rng = np.random.default_rng(8)
+    pairs, texts = 24, []
+    for p in range(pairs):
+        base = [f"p{p}w{i}" for i in range(3004)]
+        other, want = list(base), (0.79, 0.83, 0.797, 0.803)[p % 4]
+        for at in rng.permutation(300)[: round(600 * (1 - want) / (1 + want))]:  # an edit changes 5 of 3000 shingles
+            other[10 * at + 5] = f"edit{p}"
+        texts += [base, other]
+    shingles = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    alike = [len(shingles[i] & shingles[i + 1]) / len(shingles[i] | shingles[i + 1]) for i in range(0, 2 * pairs, 2)]
+    assert min(alike) < 0.8 <= max(alike)
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(table).collect()}
+    linked = [got[2 * p + 1] == 2 * p for p in range(pairs)]
+    assert not any(x for x, s in zip(linked, alike) if s < 0.8)  # complete sets decide
+    sets = [simhash.describe(" ".join(t), 5)[2] for t in texts]
+    found = [bool(list(simhash._verified(np.array([0, 1]), [sets[2 * p], sets[2 * p + 1]], 0.8))) for p in range(pairs)]
+    assert found == [s >= 0.8 for s in alike]
+
+
 def test_keep_first(docs):
     kept = simhash.keep_first(docs)
     assert kept.columns == docs.columns
