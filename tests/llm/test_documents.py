@@ -356,6 +356,14 @@ def test_similarity_of_long_texts_is_exact(spark):
     assert found == [s >= 0.8 for s in alike]
 
 
+def test_equal_fingerprints_are_no_proof(spark):
+    line = [f"line{i}" for i in range(7)]
+    texts = [" ".join(line * 43 + [f"t{p}w{i}" for i in range(140)]) for p in range(6)]
+    table = spark.createDataFrame(list(enumerate(texts + [texts[2]])), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(table).collect()}
+    assert got == {**{i: i for i in range(6)}, 6: 2}
+
+
 def test_keep_first(docs):
     kept = simhash.keep_first(docs)
     assert kept.columns == docs.columns

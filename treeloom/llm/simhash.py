@@ -296,20 +296,24 @@ def similar_documents(docs: DataFrame, width: int = 5, least: float = 0.8, block
     compared again by the complete sets of shingle hashes, block against block, and only those links count.  Sketches
     of the sets only spare comparisons of pairs far below ``least``.
     Of pairs with a similarity from 0.80 to 0.85 about 96 % become candidates, above that 99.9 % (measured).
-    Documents with equal fingerprints are one class from the start.  Nulls, empty texts, repeated rows and further
+    Documents with equal sets (by a digest of 128 bits) are one class from the start; classes with equal fingerprints
+    are candidates like others.  Nulls, empty texts, repeated rows and further
     columns are treated as by ``near_duplicates``.
     """
 
     def spell(batches):
+        import xxhash
+
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
                 rows = []
                 for t in part.column(2):
                     one, two, hashes = describe(t.as_py(), width)
-                    rows.append((one, two, len(hashes)))
-                found = np.array(rows, dtype=np.uint64).reshape(-1, 3).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(found[:, k].copy()) for k in range(3)]], names=["doc_id", "mark", "a", "b", "n"])
+                    digest = xxhash.xxh3_128_intdigest(hashes.tobytes())
+                    rows.append((one, two, digest >> 64, digest & (1 << 64) - 1, len(hashes)))
+                found = np.array(rows, dtype=np.uint64).reshape(-1, 5).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(found[:, k].copy()) for k in range(5)]], names=["doc_id", "mark", "a", "b", "d", "e", "n"])
 
     def spread(batches):
         for b in batches:
@@ -373,13 +377,15 @@ def similar_documents(docs: DataFrame, width: int = 5, least: float = 0.8, block
 
     # the mark finds a class's text again, whose complete set is needed only if the class has candidates
     texts = only(docs, "doc_id", "text").withColumn("mark", F.xxhash64("doc_id", "text"))
-    prints = written(texts.select("doc_id", "mark", "text").mapInArrow(spell, "doc_id long, mark long, a long, b long, n long"), "prints")
-    node = F.xxhash64("a", "b")
-    classes = written(prints.groupBy("a", "b").agg(F.min("doc_id").alias("first_id"), F.min("mark").alias("mark"), F.min_by("n", "mark").alias("n")).withColumn("node", node), "classes")
-    keyed = classes.select("a", "b").mapInArrow(spread, "key int, a long, b long")
+    prints = written(texts.select("doc_id", "mark", "text").mapInArrow(spell, "doc_id long, mark long, a long, b long, d long, e long, n long"), "prints")
+    node, group = F.xxhash64("d", "e"), F.xxhash64("a", "b")
+    folded = prints.groupBy("d", "e").agg(F.min("doc_id").alias("first_id"), F.min("mark").alias("mark"), F.min_by(F.struct("a", "b", "n"), "mark").alias("of"))
+    classes = written(folded.select("d", "e", "first_id", "mark", "of.*").withColumn("node", node).withColumn("print", group), "classes")
+    keyed = classes.select("a", "b").distinct().mapInArrow(spread, "key int, a long, b long")
     near = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(loose, "a1 long, b1 long, a2 long, b2 long")
     groups = connected_components(near.select(F.xxhash64("a1", "b1").alias("src"), F.xxhash64("a2", "b2").alias("dst"))).withColumnRenamed("node", "m")
-    members = classes.join(groups, classes.node == groups.m).select("component", "node", "mark", "n")
+    # a fingerprint without links can still have several classes
+    members = classes.join(groups, classes["print"] == groups.m, "left").select(F.coalesce("component", "print").alias("component"), "node", "mark", "n")
     blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_HASHES)).cast("int")
     sizes = members.groupBy("component").agg(blocks.alias("blocks"), F.count("*").alias("many")).where("many > 1")
     members = written(members.join(sizes, "component").select("component", "node", "blocks", "n", "mark"), "members")
@@ -391,11 +397,11 @@ def similar_documents(docs: DataFrame, width: int = 5, least: float = 0.8, block
     pairs = dealt.select("component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "shingles")
     links_ = pairs.repartition(*pair).sortWithinPartitions(*pair, "node").mapInArrow(verify, "src long, dst long")
     linked = connected_components(links_).withColumnRenamed("node", "m")
-    named = classes.join(linked, classes.node == linked.m).select("a", "b", "component", "first_id")
+    named = classes.join(linked, classes.node == linked.m).select("d", "e", "component", "first_id")
     low = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    labels = named.join(low, "component").select("a", "b", "component_id")
-    ids = classes.join(labels, ["a", "b"], "left").select("a", "b", F.coalesce("component_id", "first_id").alias("component_id"))
-    return prints.select("doc_id", "a", "b").join(ids, ["a", "b"]).select("doc_id", "component_id")
+    labels = named.join(low, "component").select("d", "e", "component_id")
+    ids = classes.join(labels, ["d", "e"], "left").select("d", "e", F.coalesce("component_id", "first_id").alias("component_id"))
+    return prints.select("doc_id", "d", "e").join(ids, ["d", "e"]).select("doc_id", "component_id")
 
 
 def _verified(nodes: np.ndarray, sets: list[np.ndarray], least: float):
