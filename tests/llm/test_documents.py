@@ -364,6 +364,18 @@ def test_equal_fingerprints_are_no_proof(spark):
     assert got == {**{i: i for i in range(6)}, 6: 2}
 
 
+def test_repeated_lines_do_not_hide_copies(spark):
+    texts = []
+    for p in range(6):
+        base = [f"t{p}w{i}" for i in range(300)]
+        texts += [base, base[:140] + base[133:140] * 60 + base[140:]]
+    shingles = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    assert all(len(shingles[i] & shingles[i + 1]) >= 0.95 * len(shingles[i] | shingles[i + 1]) for i in range(0, 12, 2))
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(table).collect()}
+    assert got == {i: i // 2 * 2 for i in range(12)}
+
+
 def test_keep_first(docs):
     kept = simhash.keep_first(docs)
     assert kept.columns == docs.columns
