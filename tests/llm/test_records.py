@@ -56,6 +56,21 @@ def test_nearest(spark, table):
     assert neighbours.nearest(few, few.where("vec_id = 0"), 10).count() == 2
 
 
+def test_repeated_rows_take_one_place(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 8))
+    rows = [(i, [float(a) for a in x[i] + 0.001 * (c % 3)]) for i in range(40) for c in range(30)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    everything = neighbours.Settings(leaf=2000, visit=3.0, block=400)  # blocks of many ids
+    got = defaultdict(list)
+    for r in sorted(neighbours.nearest(frame, spark.createDataFrame([(i, x[i].tolist()) for i in range(6)], "vec_id long, embedding array<double>"), 5, everything).collect(), key=lambda r: r.rank):
+        got[r.query_id].append(r)
+    for i in range(6):
+        d = {j: min(math.sqrt(((x[j] + 0.001 * c - x[i]) ** 2).sum()) for c in range(3)) for j in range(40) if j != i}
+        assert [r.vec_id for r in got[i]] == sorted(d, key=lambda j: (d[j], j))[:5]
+        assert all(r.score == pytest.approx(d[r.vec_id], abs=1e-12) for r in got[i])
+
+
 def test_queue_goes_by_margin():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(500, 8))

@@ -124,20 +124,28 @@ def _matrix(column, dims: int) -> np.ndarray:
 
 
 def _best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, norms: np.ndarray, k: int) -> pa.RecordBatch:
-    """The ``k`` nearest of each query in a block, by distances in double precision."""
+    """The ``k`` nearest ids of each query in a block, by distances in double precision; of an id's rows the nearest counts."""
     out: tuple[list, list, list] = ([], [], [])
     near = norms[None, :] - 2 * q @ x.T  # for the choice; exact below
     near[q_ids[:, None] == ids[None, :]] = np.inf
-    m = min(4 * k, len(x))
     for i in range(len(q)):
-        best = np.argpartition(near[i], m - 1)[:m] if m < len(x) else np.arange(len(x))
-        if m < len(x):
-            edge = near[i][best].max()
-            if np.sort(near[i][best])[k - 1] >= edge - 1e-9:  # many ties: take all that may belong
-                best = np.flatnonzero(near[i] <= edge + 1e-9)
+        m = 4 * k
+        while m < len(x):  # until k ids are held
+            best = np.argpartition(near[i], m - 1)[:m]
+            best = best[np.argsort(near[i][best])]
+            first = np.sort(np.unique(ids[best], return_index=True)[1])
+            if len(first) >= k:
+                edge = near[i][best[-1]]
+                if near[i][best[first[k - 1]]] >= edge - 1e-9:  # many ties: take all that may belong
+                    best = np.flatnonzero(near[i] <= edge + 1e-9)
+                break
+            m *= 4
+        else:
+            best = np.arange(len(x))
         best = best[ids[best] != q_ids[i]]
         d = np.sqrt(((x[best] - q[i]) ** 2).sum(axis=1))
-        order = np.lexsort((ids[best], d))[:k]
+        order = np.lexsort((ids[best], d))
+        order = order[np.sort(np.unique(ids[best][order], return_index=True)[1])][:k]
         for column, values in zip(out, ([q_ids[i]] * len(order), ids[best][order].tolist(), d[order].tolist())):
             column.extend(values)
     return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
