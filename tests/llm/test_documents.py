@@ -96,6 +96,17 @@ def test_position_inverts_the_schedule(spark):
             assert r.t == pytest.approx(want, abs=2e-3)
 
 
+def test_mixing_spreads_later_passes(spark):
+    rows = [(i, "w " * 10, "a" if i < 20 else "b") for i in range(120)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [r.doc_id for r in mixing.mix(table, partitions=1, weights=(50, 50), schedules=((1.0, 1.0), (1.0, 1.0))).collect()]
+    assert Counter(got) == {i: n for i, n in Counter({**{r.doc_id: r.passes for r in mixing.plan(table, weights=(50, 50)).collect()}}).items() if n}
+    assert max(Counter(i for i in got if i < 20).values()) == 3
+    first = [i for i in got[: len(got) // 2] if i < 20]
+    assert len(first) == pytest.approx(sum(i < 20 for i in got) / 2, abs=2)  # an even schedule is even over all passes
+    assert [i for i in got if i < 20][:20] == [i for i in got if i < 20][20:40]  # the stream comes again in its order
+
+
 def test_mixing_empty_and_rows(spark, docs, rows):
     assert mixing.plan(docs.limit(0)).count() == 0
     got = mixing.mix(docs)

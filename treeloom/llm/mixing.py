@@ -77,7 +77,17 @@ def plan(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = 3.
     of a document's first pass.  A null or empty text has size 0 and is taken 0 times; a null source is a source of
     its own, the last; null ids and repeated rows take part like others; no rows give none.
     """
-    spark = docs.sparkSession
+    return _placed(docs, weights, most, schedules, seed).select("doc_id", "source", "size", "source_size", "target", "taken", "passes", _position_of(F.lit(1)).alias("position"))
+
+
+def _position_of(copy: Column) -> Column:
+    """``position`` of a document's pass number ``copy`` (from 1) in a row of ``_placed``."""
+    middle = F.col("start") + (copy - 1) * F.col("source_size") + F.col("size") / 2
+    return position(F.when(F.col("goal") > 0, F.least(F.lit(1.0), middle / F.col("goal"))).otherwise(F.lit(0.0)), F.col("schedule"))
+
+
+def _placed(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = 3.0, schedules: Sequence[Sequence[float]] = SCHEDULES, seed: int = 3) -> DataFrame:
+    """Columns of ``plan`` but ``position``, with what it depends on: ``start``, ``goal``, ``schedule``."""
     mark = F.xxhash64("doc_id", "text", F.lit(seed))
     sized = written(only(docs, "doc_id", "source", "text").select("doc_id", "source", word_count(F.col("text")).alias("size"), mark.alias("mark")), "sizes")
     rows = sized.count()
@@ -101,7 +111,6 @@ def plan(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = 3.
     placed = placed.withColumn("full", full)
     part = F.greatest(F.lit(0), F.least(F.col("size"), goal - F.col("full") * F.col("source_size") - F.col("start")))
     placed = placed.withColumn("part", part.cast("long"))
-    share = F.when(goal > 0, F.least(F.lit(1.0), (F.col("start") + F.col("size") / 2) / goal)).otherwise(F.lit(0.0))
     return placed.select(
         "doc_id",
         "source",
@@ -110,7 +119,9 @@ def plan(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = 3.
         "target",
         (F.col("full") * F.col("size") + F.col("part")).alias("taken"),
         (F.when(F.col("size") > 0, F.col("full")).otherwise(F.lit(0)) + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)).cast("int").alias("passes"),
-        position(share, F.col("schedule")).alias("position"),
+        "start",
+        goal.alias("goal"),
+        "schedule",
     )
 
 
@@ -120,11 +131,12 @@ def mix(docs: DataFrame, partitions: int | None = None, **options) -> DataFrame:
     Rows of one ``doc_id`` stay together if they are repeated in ``docs``: each comes as often as the first one passes.
     Rows with a null ``doc_id`` can't be named; they come once, at the end.
     """
-    chosen = plan(docs, **options).where("passes > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("passes").alias("treeloom passes"), F.min("position").alias("treeloom position"))
+    passed = _placed(docs, **options).where("passes > 0 AND doc_id IS NOT NULL").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("passes"))))
+    # every pass comes where the source's stream comes to the document again
+    times = passed.groupBy("doc_id", "copy").agg(F.min(_position_of(F.col("copy"))).alias("at"))
+    chosen = times.groupBy("doc_id").agg(F.collect_list("at").alias("treeloom positions"))  # one entry a pass
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    copies = docs.join(chosen, "doc_id").select(*columns, "treeloom position", F.explode(F.sequence(F.lit(1), F.col("treeloom passes"))).alias("treeloom copy"))
-    # later passes follow where the stream comes to the document again
-    at = F.col("treeloom position") + (F.col("treeloom copy") - 1)
-    both = copies.select(*columns, at.alias("treeloom position")).unionByName(docs.where("doc_id IS NULL").select(*columns, F.lit(float("inf")).alias("treeloom position")))
+    copies = docs.join(chosen, "doc_id").select(*columns, F.explode("treeloom positions").alias("treeloom position"))
+    both = copies.unionByName(docs.where("doc_id IS NULL").select(*columns, F.lit(float("inf")).alias("treeloom position")))
     ordered = both.repartitionByRange(partitions, "treeloom position") if partitions else both.repartitionByRange("treeloom position")
     return ordered.sortWithinPartitions("treeloom position").select(*columns)
