@@ -190,3 +190,12 @@ def test_stale_answers(spark):
     got = {r.pair_id: r for r in preferences.format_preferences(*preferences.stale_answers(c)).collect()}
     assert set(got) == {1, 3} and got[1].n_common == 3 and "second" in got[1].chosen and "first" in got[1].rejected
     assert got[3].rejected == "<|assistant|>\n<|end|>\n"
+
+
+def test_null_turns_come_first(spark):
+    rows = [(1, None, "user", "q"), (1, 0, "assistant", "first"), (1, 1, "user", "late"), (2, None, "user", "z"), (2, None, "assistant", "only")]
+    c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.pair_id: r for r in preferences.format_preferences(*preferences.stale_answers(c)).collect()}
+    assert set(got) == {1, 2}
+    assert got[1].prompt == "<|user|>\nq<|end|>\n" and got[1].chosen == "<|assistant|>\nfirst<|end|>\n" and got[1].rejected == "<|assistant|>\n<|end|>\n"
+    assert "only" in got[2].prompt + got[2].chosen and "only" not in got[2].rejected

@@ -75,15 +75,16 @@ def stale_answers(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chosen and rejected turns of every conversation with an answer.
 
     Chosen is the conversation up to its last assistant turn; in the rejected one that turn repeats the assistant's
-    answer before (or is empty if there is none).
+    answer before (or is empty if there is none).  A null turn number comes before all others.
     """
     c = only(conversations, "conv_id", "turn", "role", "text").withColumnRenamed("conv_id", "pair_id")
     answer = F.col("role") == "assistant"
+    place = F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 63)))
     of_pair = Window.partitionBy("pair_id")
-    c = c.withColumn("last", F.max(F.when(answer, F.col("turn"))).over(of_pair))
+    c = c.withColumn("last", F.max(F.when(answer, place)).over(of_pair))
     c = c.withColumn("before", F.lag("text").over(Window.partitionBy("pair_id", "role").orderBy("turn", "text")))
-    c = c.where("pair_id IS NOT NULL AND turn <= last")
-    other = F.when(answer & (F.col("turn") == F.col("last")), F.coalesce("before", F.lit(""))).otherwise(F.col("text"))
+    c = c.where(F.col("pair_id").isNotNull() & (place <= F.col("last")))
+    other = F.when(answer & (place == F.col("last")), F.coalesce("before", F.lit(""))).otherwise(F.col("text"))
     return c.select("pair_id", "turn", "role", "text"), c.select("pair_id", "turn", "role", other.alias("text"))
 
 
