@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import only
+from ._shared import only, written
 
 ORDERS = (1, 2, 3)
 #: Characters of a text that are hashed at once.
@@ -26,7 +26,8 @@ PART_CHARS = 1 << 19
 class Settings:
     """``fit_docs``: expected size of the sample that weights and temperature are fitted on, shared evenly by languages.
 
-    It never exceeds twice that number, texts of at most ``fit_chars`` first, and one document for a language left out.
+    It never exceeds twice that number and one document for a language left out.  A text of more than ``fit_chars``
+    characters is represented in the sample by a window of so many, at a place that its hash gives.
 
     Besides its whole text, each sampled document longer than two windows gives one of ``window`` characters, so that
     weights and temperature hold for short texts too.
@@ -34,7 +35,7 @@ class Settings:
 
     bits: int = 18
     fit_docs: int = 2000
-    fit_chars: int = 20_000
+    fit_chars: int = 8_000
     window: int = 50
     epochs: int = 4
     alpha: float = 0.5
@@ -98,8 +99,8 @@ def _document_frequencies(texts: DataFrame, bits: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(found, width), pa.int32()), pa.array(np.append(df[found], n))], names=["f", "n"])
 
     out = np.zeros(width + 1, np.int64)
-    for r in texts.mapInArrow(run, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).toPandas().itertuples():  # at most 2**bits + 1 rows
-        out[r.f] = r.n
+    found = texts.mapInArrow(run, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).toArrow()  # at most 2**bits + 1 rows
+    out[found["f"].to_numpy()] = found["n"].to_numpy()
     return out
 
 
@@ -143,44 +144,62 @@ def _fit(rows: list[tuple[np.ndarray, np.ndarray, int, bool]], idf: np.ndarray,
     return Model(languages, np.ascontiguousarray((w[:width] * idf[:, None]).T.astype(np.float32)), w[width].copy(), float(np.exp(low)), s.bits)
 
 
+def features(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct features of a text and their shares of all its n-grams in per cent."""
+    found, n = np.unique(np.concatenate(list(feature_parts(text, bits))), return_counts=True)
+    return found.astype(np.int32), (100.0 * n / n.sum()).astype(np.float32)
+
+
 def train(labelled: DataFrame, settings: Settings | None = None) -> Model | None:
-    """Fit on ``labelled(doc_id, text, lang)``; rows with a null text or ``lang`` don't count.  None without any."""
+    """Fit on ``labelled(doc_id, text, lang)``; rows with a null text or ``lang`` don't count.  None without any.
+
+    Weights are fitted in one executor task, whose input is the bounded sample; the driver gets the weights that the
+    penalty left, not the sample.
+    """
     s = settings or Settings()
     rows = only(labelled, "doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
     if not sizes:
         return None
+    languages = sorted(sizes)
     df = _document_frequencies(rows.select("text"), s.bits)
     idf = np.log((1.0 + df[-1]) / (1.0 + df[:-1])) + 1.0
     quota = max(1, s.fit_docs // len(sizes))
-    mark = F.xxhash64(F.col("doc_id"), F.lit("fit"))
     share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, quota / n))) for lang, n in sizes.items()])
-    columns = ["doc_id", "text", "lang", "mark"]
-    rows = rows.withColumn("mark", mark)
-    drawn = rows.where((F.pmod("mark", F.lit(1 << 20)) / float(1 << 20)) < share).orderBy(F.length("text") > s.fit_chars, "mark", "doc_id").limit(2 * s.fit_docs).select(*columns)
+    # a long text is represented by a window at a place that its hash gives
+    rows = rows.withColumn("mark", F.xxhash64(F.col("doc_id"), F.lit("fit")))
+    at = (F.pmod("mark", F.greatest(F.lit(1), F.length("text") - s.fit_chars + 1)) + 1).cast("int")
+    rows = rows.select("doc_id", F.substring("text", at, F.lit(s.fit_chars)).alias("text"), "lang", "mark")
+    drawn = written(rows.where((F.pmod("mark", F.lit(1 << 20)) / float(1 << 20)) < share).orderBy("mark", "doc_id", "text").limit(2 * s.fit_docs), "drawn")
     sample = drawn
     if missing := set(sizes) - {r.lang for r in drawn.select("lang").distinct().collect()}:  # rare ones give one document each
         one = rows.where(F.col("lang").isin(sorted(missing))).groupBy("lang").agg(F.min_by(F.struct("doc_id", "text", "mark"), F.struct("mark", "doc_id")).alias("r"))
         sample = drawn.unionByName(one.select("r.doc_id", "r.text", "lang", "r.mark"))
-
-    def features(batches):
-        for b in batches:
-            ids, shares, langs, marks = [], [], [], []
-            for t, lang, mark in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                at = mark % max(1, len(t) - s.window)
-                for text in [t, t[at : at + s.window]] if len(t) > 2 * s.window else [t]:
-                    found, n = np.unique(np.concatenate(list(feature_parts(text, s.bits))), return_counts=True)
-                    ids.append(found.astype(np.int32))
-                    shares.append((100.0 * n / n.sum()).astype(np.float32))
-                    langs.append(lang)
-                    marks.append(mark)
-            yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array(marks, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))], names=["lang", "mark", "ids", "shares"])
-
-    found = sample.select(*columns).mapInArrow(features, "lang string, mark long, ids array<int>, shares array<float>").toPandas()  # at most 4 * fit_docs rows and two per language
-    found = found.assign(k=lambda d: d.ids.map(len)).sort_values(["mark", "lang", "k"], kind="stable")
-    languages = sorted(sizes)
-    at = {lang: i for i, lang in enumerate(languages)}
-    return _fit([(np.asarray(r.ids), np.asarray(r.shares, dtype=np.float64), at[r.lang], r.mark % 5 == 0) for r in found.itertuples()], idf, languages, s)
+    number = {lang: i for i, lang in enumerate(languages)}
+    shared = sample.sparkSession.sparkContext.broadcast(idf)  # 2**bits numbers
+
+    def fit(batches):
+        texts = sorted((r for b in batches for r in zip(*[b.column(c).to_pylist() for c in ("mark", "lang", "text")])))
+        if not texts:
+            return
+        cases = []
+        for mark, lang, whole in texts:
+            place = mark % max(1, len(whole) - s.window)
+            for text in [whole[place : place + s.window], whole] if len(whole) > 2 * s.window else [whole]:
+                ids, shares = features(text, s.bits)
+                cases.append((ids, shares, number[lang], mark % 5 == 0))
+        m = _fit(cases, shared.value, languages, s)
+        for k in range(len(languages)):
+            kept = np.flatnonzero(m.weights[k])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([kept.astype("<i4").tobytes()]), pa.array([m.weights[k][kept].astype("<f4").tobytes()]), pa.array([float(m.bias[k])]), pa.array([m.temperature])], names=["k", "ids", "weights", "bias", "temperature"])
+
+    weights, bias, temperature = np.zeros((len(languages), 1 << s.bits), np.float32), np.zeros(len(languages)), 1.0
+    one_task = sample.select("mark", "lang", "text").repartition(1)
+    for r in one_task.mapInArrow(fit, "k int, ids binary, weights binary, bias double, temperature double").collect():  # one row per language
+        weights[r.k][np.frombuffer(r.ids, "<i4")] = np.frombuffer(r.weights, "<f4")
+        bias[r.k], temperature = r.bias, r.temperature
+    shared.destroy()
+    return Model(languages, weights, bias, temperature, s.bits)
 
 
 def predict(docs: DataFrame, model: Model | None, keep: bool = False) -> DataFrame:

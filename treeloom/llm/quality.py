@@ -142,8 +142,8 @@ def log_ratios(docs: DataFrame, labels: DataFrame, settings: Settings | None = N
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), *[pa.array(c[found]) for c in counts]], names=["f", "raw", "target"])
 
     counts = np.zeros((2, width))
-    for r in marked.select("text", "good").mapInArrow(run, "f int, raw long, target long").groupBy("f").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas().itertuples():  # at most 2**bits rows
-        counts[:, r.f] = r.raw, r.target
+    found = marked.select("text", "good").mapInArrow(run, "f int, raw long, target long").groupBy("f").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()  # at most 2**bits rows
+    counts[:, found["f"].to_numpy()] = found["raw"].to_numpy(), found["target"].to_numpy()
     if not counts[1].sum():
         return np.zeros(width)
     raw, target = counts / counts.sum(axis=1, keepdims=True)
@@ -241,7 +241,11 @@ def resample(docs: DataFrame, labels: DataFrame, settings: Settings | None = Non
 
 
 def keep_drawn(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """Rows of ``docs`` that ``resample`` keeps, with all their columns; they are scored again rather than shuffled."""
+    """Rows of ``docs`` that ``resample`` keeps, with all their columns; they are scored again rather than shuffled.
+
+    Null and empty texts weigh 1 and stay as ``resample`` says, rows with a null id too; repeated rows stay or go
+    together; no rows give none; further columns, whatever their names, come back as they were.
+    """
     s = settings or Settings()
     ratios = log_ratios(docs, labels, s)
     scored = written(score(docs, ratios, s), "scores")
