@@ -1,4 +1,4 @@
-"""Small helpers that the training-data operators share: shared folder, written tables, files, components."""
+"""Small helpers that the training-data operators share: shared folder, written tables, files, components, sieves."""
 
 from __future__ import annotations
 
@@ -8,12 +8,17 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: One word of a text: a run of characters other than space and U+0009 to U+000D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
+#: Edges of a task of which one spanning forest is made.
+THIN_EDGES = 2_000_000
+
 _work_dirs: dict[str, str] = {}
 
 
@@ -120,29 +125,98 @@ def open_input(folder: str, name: str):
     return fs_.open_input_file(f"{root}/{name}")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def thinned(edges: DataFrame) -> DataFrame:
+    """``src, dst`` with the same components, but only a spanning forest of what each task holds.
+
+    A task's memory is bounded: after ``THIN_EDGES`` edges the forest so far is given out.
+    """
+
+    def run(batches):
+        parent: dict[int, int] = {}
+        found: list[tuple[int, int]] = []
+        seen = 0
+
+        def forest():
+            a, b = zip(*found)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["src", "dst"])
+
+        for batch in batches:
+            pairs = np.unique(np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1), axis=0)
+            for a, b in pairs.tolist():
+                u, v = a, b
+                while (up := parent.setdefault(u, u)) != u:
+                    parent[u] = u = parent[up]
+                while (up := parent.setdefault(v, v)) != v:
+                    parent[v] = v = parent[up]
+                if u != v:
+                    parent[max(u, v)] = min(u, v)
+                    found.append((a, b))
+            seen += len(pairs)
+            if seen >= THIN_EDGES:
+                if found:
+                    yield forest()
+                parent, found, seen = {}, [], 0
+        if found:
+            yield forest()
+
+    return edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).mapInArrow(run, "src long, dst long")
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """Components of an undirected graph given as ``edges(src long, dst long)``.
 
-    Returns ``node long, component long`` (the smallest node) for every node that has an edge to another one.
-    Alternates large-star and small-star steps; each round is a few keyed aggregations and joins whose result is
-    written to the shared folder, so nothing is gathered on the driver and lineage stays short.
+    Returns ``node long, component long`` for every node that has an edge to another one; ``component`` is one node of
+    the component, the same for all its nodes.  Edges are first thinned to spanning forests, task by task and again
+    after they are written.  Then each round contracts every node into its neighbour of least hash, if that is less
+    than its own; rounds' maps are written to the shared folder and composed at the end, from the last, smallest one
+    back.  A hub's edges are only summed by partial aggregation or joined with a written table of one row per node, so
+    Spark can split them, and nothing is gathered on the driver.
     """
-    spark = edges.sparkSession
-    e = edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct()
-    e = written(e, "cc")
-    before = None
+    e = written(thinned(edges.where("src <> dst")), "cc")
+    e = written(thinned(e).distinct(), "cc")
+    maps: list[DataFrame] = []
     for _ in range(max_rounds):
-        both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        lowest = large.groupBy("a").agg(F.min("b").alias("mb"))
-        small = large.join(lowest, "a").where("b <> mb").select(F.col("b").alias("a"), F.col("mb").alias("b"))
-        e = written(small.union(lowest.select("a", F.col("mb").alias("b"))).distinct(), "cc")
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(state) == before:
+        if e.isEmpty():
             break
-        before = tuple(state)
+        ends = e.select(F.col("src").alias("node"), F.col("dst").alias("near")).union(e.select("dst", "src"))
+        least = ends.groupBy("node").agg(F.min_by("near", F.xxhash64("near")).alias("near"))
+        mine, its = F.xxhash64("node"), F.xxhash64("near")
+        lower = (its < mine) | ((its == mine) & (F.col("near") < F.col("node")))
+        hop = written(least.select("node", F.when(lower, F.col("near")).otherwise(F.col("node")).alias("to")), "cc")
+        maps.append(hop)
+        moved = e.join(hop.select(F.col("node").alias("src"), F.col("to").alias("a")), "src").join(hop.select(F.col("node").alias("dst"), F.col("to").alias("b")), "dst")
+        e = written(moved.where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(), "cc")
     else:
         raise RuntimeError("components did not settle")
-    nodes = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return nodes.union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    if not maps:
+        return e.select(F.col("src").alias("node"), F.col("dst").alias("component"))
+    found = maps[-1].withColumnRenamed("to", "component")
+    for hop in reversed(maps[:-1]):
+        further = found.select(F.col("node").alias("to"), "component")
+        found = hop.join(further, "to", "left").select("node", F.coalesce("component", "to").alias("component"))
+    return found
+
+
+# ---------------------------------------------------------------- sieve
+
+#: Bits of a sieve, 4 MB in all; it is broadcast as at most 1024 rows, however many keys it holds.
+SIEVE_BITS = 1 << 25
+
+
+def sieve(keys: DataFrame) -> DataFrame:
+    """Bitmap of the hashed values of a table's one column of longs, as slot and bits."""
+    bit = F.pmod(F.col(keys.columns[0]), F.lit(SIEVE_BITS))
+    rows = keys.select(F.shiftright(bit, 15).alias("treeloom slot"), bit.bitwiseAND(F.lit(32767)).alias("at"))
+    return rows.groupBy("treeloom slot").agg(F.bitmap_construct_agg("at").alias("treeloom bits"))
+
+
+def sifted(df: DataFrame, key: str, bitmap: DataFrame, name: str) -> DataFrame:
+    """``df`` with a boolean column ``name``: false only where ``key`` is surely not among the sieve's keys.
+
+    Of the rows that aren't, most get false while the sieve is sparse; an exact join must follow for the others.
+    """
+    bit = F.pmod(F.col(f"`{key}`"), F.lit(SIEVE_BITS))
+    joined = df.join(F.broadcast(bitmap.withColumnRenamed("treeloom bits", f"{name} bits")), F.shiftright(bit, 15) == F.col("`treeloom slot`"), "left")
+    byte = F.substring(F.col(f"`{name} bits`"), (F.shiftright(bit.bitwiseAND(F.lit(32767)), 3) + 1).cast("int"), F.lit(1))
+    hit = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), bit.bitwiseAND(F.lit(7)).cast("int")) == 1
+    return joined.withColumn(name, F.coalesce(hit, F.lit(False))).drop("treeloom slot", f"{name} bits")

@@ -21,10 +21,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import connected_components, only, written
+from ._shared import connected_components, only, sieve, sifted, written
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 (fixed value).
@@ -227,9 +227,10 @@ def near_duplicates(docs: DataFrame, most: int = 4, width: int = 4) -> DataFrame
     distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     comps = connected_components(links(distinct, most))
     named = distinct.join(comps, distinct.fp == comps.node, "inner").select("fp", "component", "first_id")
-    low = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    low = written(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "best")
     ids = distinct.join(named.join(low, "component").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
+    # both sides are tables, so that Spark can split the rows of a frequent fingerprint
+    return fps.join(written(ids, "ids"), "fp").select("doc_id", "fp", "component_id")
 
 
 def fingerprint_hex(fp):
@@ -250,6 +251,14 @@ NO_TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 BLOCK_HASHES = 1 << 21
 
 
+def _digest(data: bytes) -> tuple[int, int]:
+    """128 bits of a set of hashes as two unsigned numbers, the first cut to 63 bits."""
+    import xxhash
+
+    digest = xxhash.xxh3_128_intdigest(data)
+    return digest >> 65, digest & (1 << 64) - 1
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     """A second hash of each hash."""
     h = (h ^ np.uint64(0x1234567)) * np.uint64(0x9E3779B97F4A7C15)
@@ -289,31 +298,19 @@ def similarity(one: np.ndarray, other: np.ndarray) -> float:
     return both / (len(one) + len(other) - both)
 
 
-def similar_documents(docs: DataFrame, width: int = 5, least: float = 0.8, block: int = 2048) -> DataFrame:
-    """``doc_id, component_id``: documents linked by a similarity of ``least`` or more of their sets of shingles.
-
-    Candidates share a Golay bucket of one of two fingerprints and differ in few of all 128 bits; what they connect is
-    compared again by the complete sets of shingle hashes, block against block, and only those links count.  Sketches
-    of the sets only spare comparisons of pairs far below ``least``.
-    Of pairs with a similarity from 0.80 to 0.85 about 96 % became candidates, above that 99.9 %, when fingerprints
-    still counted repeated shingles; over distinct shingles this isn't measured.
-    Documents with equal sets (by a digest of 128 bits) are one class from the start; classes with equal fingerprints
-    are candidates like others.  Nulls, empty texts, repeated rows and further
-    columns are treated as by ``near_duplicates``.
-    """
+def _similar(docs: DataFrame, width: int, least: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """Rows ``doc_id, mark, d, e, ...`` with the digest of their shingle sets, and for each digest its component's
+    first row: ``d, e, best(is null, doc_id, mark)``."""
 
     def spell(batches):
-        import xxhash
-
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
                 rows = []
                 for t in part.column(2):
                     one, two, hashes = describe(t.as_py(), width)
-                    digest = xxhash.xxh3_128_intdigest(hashes.tobytes())
-                    rows.append((one, two, digest >> 64, digest & (1 << 64) - 1, len(hashes)))
-                found = np.array(rows, dtype=np.uint64).reshape(-1, 5).view(np.int64)
+                    rows.append((one, two, *_digest(hashes.tobytes()), len(hashes)))
+                found = np.array([[x - (1 << 64) if x >> 63 else x for x in r] for r in rows], dtype=np.int64).reshape(-1, 5)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(found[:, k].copy()) for k in range(5)]], names=["doc_id", "mark", "a", "b", "d", "e", "n"])
 
     def spread(batches):
@@ -361,48 +358,77 @@ def similar_documents(docs: DataFrame, width: int = 5, least: float = 0.8, block
         for b in batches:
             for at in range(0, b.num_rows, 100):
                 part = b.slice(at, 100)
-                sets = [describe(t.as_py(), width)[2].tobytes() for t in part.column(4)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(sets, pa.binary())], names=["component", "node", "blocks", "n", "shingles"])
+                sets, right = [], []
+                for d, t in zip(part.column(3).to_pylist(), part.column(4)):
+                    hashes = describe(t.as_py(), width)[2].tobytes()
+                    sets.append(hashes)
+                    right.append(_digest(hashes)[0] == d)  # not another text with the same mark
+                found = pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(sets, pa.binary())], names=["component", "node", "blocks", "shingles"])
+                yield found.filter(pa.array(right))
 
     def verify(batches):
         at, nodes, sets = None, [], []
         for b in batches:
             keys = list(zip(*[b.column(k).to_pylist() for k in range(3)]))
-            for i, key in enumerate(keys):
+            for i, (key, node) in enumerate(zip(keys, b.column(3).to_pylist())):
                 if key != at:
                     yield from _verified(np.array(nodes, np.int64), sets, least)
                     at, nodes, sets = key, [], []
-                nodes.append(b.column(3)[i].as_py())
+                if nodes and nodes[-1] == node:  # a repeated row
+                    continue
+                nodes.append(node)
                 sets.append(np.frombuffer(b.column(4)[i].as_py(), np.uint64))
         yield from _verified(np.array(nodes, np.int64), sets, least)
 
     # the mark finds a class's text again, whose complete set is needed only if the class has candidates
-    texts = only(docs, "doc_id", "text").withColumn("mark", F.xxhash64("doc_id", "text"))
-    prints = written(texts.select("doc_id", "mark", "text").mapInArrow(spell, "doc_id long, mark long, a long, b long, d long, e long, n long"), "prints")
+    texts = _marked(docs)
+    prints = written(texts.mapInArrow(spell, "doc_id long, mark long, a long, b long, d long, e long, n long"), "prints")
     node, group = F.xxhash64("d", "e"), F.xxhash64("a", "b")
-    folded = prints.groupBy("d", "e").agg(F.min("doc_id").alias("first_id"), F.min("mark").alias("mark"), F.min_by(F.struct("a", "b", "n"), "mark").alias("of"))
-    classes = written(folded.select("d", "e", "first_id", "mark", "of.*").withColumn("node", node).withColumn("print", group), "classes")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
+    folded = prints.groupBy("d", "e").agg(F.min(order).alias("first"), F.min("mark").alias("mark"), F.min_by(F.struct("a", "b", "n"), "mark").alias("of"))
+    classes = written(folded.select("d", "e", "first", "mark", "of.*").withColumn("node", node).withColumn("print", group), "classes")
     keyed = classes.select("a", "b").distinct().mapInArrow(spread, "key int, a long, b long")
     near = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(loose, "a1 long, b1 long, a2 long, b2 long")
     groups = connected_components(near.select(F.xxhash64("a1", "b1").alias("src"), F.xxhash64("a2", "b2").alias("dst"))).withColumnRenamed("node", "m")
     # a fingerprint without links can still have several classes
-    members = classes.join(groups, classes["print"] == groups.m, "left").select(F.coalesce("component", "print").alias("component"), "node", "mark", "n")
+    members = classes.join(groups, classes["print"] == groups.m, "left").select(F.coalesce("component", "print").alias("component"), "node", "mark", "d", "n")
+    members = written(members, "members")
     blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_HASHES)).cast("int")
     sizes = members.groupBy("component").agg(blocks.alias("blocks"), F.count("*").alias("many")).where("many > 1")
-    members = written(members.join(sizes, "component").select("component", "node", "blocks", "n", "mark"), "members")
-    chosen = texts.select("mark", "text").join(members, "mark").dropDuplicates(["mark", "node"])
-    dealt = chosen.select("component", "node", "blocks", "n", "text").mapInArrow(shingle, "component long, node long, blocks int, n long, shingles binary")
+    members = written(members.join(written(sizes, "sizes"), "component").select("component", "node", "blocks", "d", "mark"), "members")
+    # only texts that the sieve lets through are shuffled
+    wanted = sifted(texts.select("mark", "text"), "mark", sieve(members.select("mark")), "treeloom hit").where("`treeloom hit`").select("mark", "text")
+    chosen = wanted.join(members, "mark").select("component", "node", "blocks", "d", "text")
+    dealt = chosen.mapInArrow(shingle, "component long, node long, blocks int, shingles binary")
     dealt = dealt.withColumn("own", F.pmod("node", F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = ["component", "low", "high"]  # about two blocks at most
     pairs = dealt.select("component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "shingles")
     links_ = pairs.repartition(*pair).sortWithinPartitions(*pair, "node").mapInArrow(verify, "src long, dst long")
     linked = connected_components(links_).withColumnRenamed("node", "m")
-    named = classes.join(linked, classes.node == linked.m).select("d", "e", "component", "first_id")
-    low = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    labels = named.join(low, "component").select("d", "e", "component_id")
-    ids = classes.join(labels, ["d", "e"], "left").select("d", "e", F.coalesce("component_id", "first_id").alias("component_id"))
-    return prints.select("doc_id", "d", "e").join(ids, ["d", "e"]).select("doc_id", "component_id")
+    named = classes.join(linked, classes.node == linked.m).select("d", "e", "component", "first")
+    low = written(named.groupBy("component").agg(F.min("first").alias("best")), "best")
+    labels = named.join(low, "component").select("d", "e", "best")
+    return prints, written(classes.join(labels, ["d", "e"], "left").select("d", "e", F.coalesce("best", "first").alias("best")), "labels")
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """``doc_id, mark, text``: the mark is the same for rows of one id and text only."""
+    return only(docs, "doc_id", "text").select("doc_id", F.xxhash64("doc_id", "text").alias("mark"), "text")
+
+
+def similar_documents(docs: DataFrame, width: int = 5, least: float = 0.8, block: int = 2048) -> DataFrame:
+    """``doc_id, component_id``: documents linked by a similarity of ``least`` or more of their sets of shingles.
+
+    Candidates share a Golay bucket of one of two fingerprints and differ in few of all 128 bits; what they connect is
+    compared again by the complete sets of shingle hashes, block against block, and only those links count.  Sketches
+    of the sets only spare comparisons of pairs far below ``least``.
+    Documents with equal sets (by a digest of 128 bits) are one class from the start; classes with equal fingerprints
+    are candidates like others.  Nulls, empty texts, repeated rows and further columns are treated as by
+    ``near_duplicates``.
+    """
+    prints, labels = _similar(docs, width, least, block)
+    return prints.select("doc_id", "d", "e").join(labels, ["d", "e"]).select("doc_id", F.col("best.doc_id").alias("component_id"))
 
 
 def _verified(nodes: np.ndarray, sets: list[np.ndarray], least: float):
@@ -434,15 +460,23 @@ def _verified(nodes: np.ndarray, sets: list[np.ndarray], least: float):
 
 
 def keep_first(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
-    """Rows of ``docs`` without near-duplicates: of each ``similar_documents`` component the smallest id stays.
+    """Rows of ``docs`` without near-duplicates: of each group of similar documents one row stays, whole.
 
-    Of several rows with that id one stays.  Rows whose ``doc_id`` is null can't be named and all stay.
+    It is a row with the group's smallest id; of several texts with that id, that of the smallest hash; of equal rows
+    one.  A null id comes after all others.  Rows are chosen by their class, so rows of one id can stay and go apart.
+    Null and empty texts are one group; no rows give none; further columns, whatever their names, come back.
     """
-    found = similar_documents(docs, width, least)
-    ids = found.where("doc_id = component_id").select("doc_id").distinct()
-    from pyspark.sql import Window
-
-    columns = docs.columns
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    named = docs.join(ids, "doc_id", "left_semi").withColumn("treeloom rank", rank).where("`treeloom rank` = 1")
-    return named.select(*[F.col(f"`{c}`") for c in columns]).unionByName(docs.where("doc_id IS NULL"))
+    prints, labels = _similar(docs, width, least, 2048)
+    stay = labels.select(F.col("best.doc_id").alias("treeloom id"), F.col("best.mark").alias("treeloom mark")).distinct()
+    # rows that are alone need no shuffle: only marks that go, or that several rows have, are looked at exactly
+    gone = prints.join(labels, ["d", "e"]).where((F.col("mark") != F.col("best.mark")) | ~F.col("doc_id").eqNullSafe(F.col("best.doc_id"))).select("mark")
+    many = prints.groupBy("mark").agg(F.count("*").alias("rows")).where("rows > 1").select("mark")
+    unsure = written(gone.union(many).distinct(), "unsure")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    mark = F.xxhash64("doc_id", "text")
+    rows = sifted(docs.withColumn("treeloom mark", mark), "treeloom mark", sieve(unsure), "treeloom hit")
+    clear = rows.where("NOT `treeloom hit`").select(*columns)
+    found = rows.where("`treeloom hit`").join(stay.withColumnRenamed("treeloom mark", "m"), (F.col("`treeloom mark`") == F.col("m")) & F.col("doc_id").eqNullSafe(F.col("`treeloom id`")), "left_semi")
+    equal = Window.partitionBy("treeloom mark", "doc_id").orderBy(F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind]))
+    first = found.withColumn("treeloom rank", F.row_number().over(equal)).where("`treeloom rank` = 1")
+    return clear.unionByName(first.select(*columns))
