@@ -10,10 +10,10 @@ from ._shared import table
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix of all documents: sources weigh 1, 2, 3 in turn and are passed three times at most; in training order."""
-    from .mixing import plan
+    from .mixing import in_order, plan
 
-    found = plan(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3.0)
-    return found.select("doc_id", "size", "source_size", "target", "taken", "position").repartitionByRange("position").sortWithinPartitions("position", "doc_id")
+    found = in_order(plan(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3.0))
+    return found.select("doc_id", "size", "source_size", "target", "taken", "positions")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
