@@ -28,17 +28,27 @@ _ODD_OTHERS = tuple("\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2
 
 
 class Encoder:
-    """ids of texts as bytes of little-endian unsigned integers (``dtype``)."""
+    """ids of texts as bytes of little-endian unsigned integers (``dtype``).
 
-    def __init__(self, path: str):
+    ``special``: strings of special tokens give their ids, as the library does unless it is told otherwise; else they
+    are ordinary text.
+    """
+
+    def __init__(self, path: str, special: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         with open(path, encoding="utf-8") as f:
-            self.kind = self._kind(json.load(f))
+            spec = json.load(f)
+        self.kind = self._kind(spec)
+        added = spec.get("added_tokens") or []
+        if any(t.get("normalized") or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in added):
+            self.kind = "whole"
+        #: A text with one of these isn't cut into units.
+        self.literals = [t["content"] for t in added]
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -129,7 +139,7 @@ class Encoder:
         """ids of the whole text; none for a null or empty text."""
         if not text:
             return b""
-        if self.kind == "whole" or any(c in text for c in "\0\x1c\x1d\x1e\x1f"):
+        if self.kind == "whole" or any(c in text for c in "\0\x1c\x1d\x1e\x1f") or any(t in text for t in self.literals):
             return self._whole(text)
         if self.kind == "dropped":
             return self._joined(text.replace("\n", " ").split(" "))
@@ -141,11 +151,11 @@ class Encoder:
         return self._joined(parts)
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special: bool = True) -> Encoder:
     """The worker's encoder for a tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, special) not in _encoders:
+        _encoders[path, special] = Encoder(path, special)
+    return _encoders[path, special]
