@@ -4,13 +4,14 @@ Documents are encoded, closed by an end id and, only if longer than the capacity
 Full pieces are sequences of their own.  The others are dealt at random into instances of bounded size.  Each instance
 lives on several islands, which start from best-fit-decreasing packings in perturbed orders.  A generation crosses two
 packings: well-filled bins of one are injected whole into the other, bins there that hold one of the same pieces are
-opened, and their remaining pieces are put back by best fit, longest first.  After each epoch the elite of every island
-moves to the next one.  Islands' states are tables in the shared folder, so a lost executor costs its tasks only.
+opened with the worst ones, and their remaining pieces are put back: first by swaps with smaller pieces of bins that
+have room, then by best fit, about longest first.  After each epoch the elite of every island moves to the next one.  Islands' states are tables in the shared folder, so a lost executor costs its tasks only.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,9 +28,9 @@ class Settings:
 
     instance: int = 6000
     islands: int = 2
-    population: int = 3
-    epochs: int = 2
-    generations: int = 6
+    population: int = 6
+    epochs: int = 3
+    generations: int = 40
     seed: int = 7
 
 
@@ -39,13 +40,13 @@ class Settings:
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False, special: bool = True) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` (and ``ids``) of every document; a null text has the end id alone."""
 
     def run(batches):
         from .tokens import encoder
 
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, special)
         names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
         for b in batches:
             for at in range(0, b.num_rows, 500):
@@ -67,19 +68,20 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
 
 
 class Packing:
-    """Bins of piece numbers, best-fit insertion, crossover."""
+    """Bins of piece numbers with their fills; best-fit insertion, crossover."""
 
-    def __init__(self, sizes: np.ndarray, capacity: int, bins: list[list[int]] | None = None):
+    def __init__(self, sizes: list[int], capacity: int, bins: list[list[int]] | None = None):
         self.sizes, self.capacity = sizes, capacity
         self.bins: list[list[int]] = bins or []
+        self.full = [sum(sizes[i] for i in held) for held in self.bins]
 
     def insert(self, items) -> None:
         """Put items, in this order, each into the bin that it fills best, or into a new one."""
-        size_of, capacity = self.sizes, self.capacity
+        size_of, capacity, bins, full = self.sizes, self.capacity, self.bins, self.full
         by_room: dict[int, list[int]] = {}
         mask = 0
-        for k, held in enumerate(self.bins):
-            if room := capacity - sum(size_of[i] for i in held):
+        for k, fill in enumerate(full):
+            if room := capacity - fill:
                 by_room.setdefault(room, []).append(k)
                 mask |= 1 << room
         for i in items:
@@ -91,38 +93,68 @@ class Packing:
                 k = same.pop()
                 if not same:
                     mask ^= 1 << room
-                self.bins[k].append(i)
+                bins[k].append(i)
             else:
-                room, k = capacity, len(self.bins)
-                self.bins.append([i])
+                room, k = capacity, len(bins)
+                bins.append([i])
+                full.append(0)
+            full[k] += size
             if room := room - size:
                 by_room.setdefault(room, []).append(k)
                 mask |= 1 << room
 
     def fills(self) -> list[int]:
-        return [sum(self.sizes[i] for i in held) for held in self.bins]
+        return list(self.full)
 
     def fitness(self) -> tuple[int, int]:
         """Fewer bins first, then unequal fills."""
-        return -len(self.bins), sum(f * f for f in self.fills())
+        return -len(self.bins), sum(f * f for f in self.full)
+
+    def improve(self, loose: list[int]) -> list[int]:
+        """Swap pieces of bins that have room for larger loose ones that still fit; returns what is loose then."""
+        size_of = self.sizes
+        loose = sorted(loose, key=size_of.__getitem__)
+        lengths = [size_of[i] for i in loose]
+        for k, held in enumerate(self.bins):
+            room = self.capacity - self.full[k]
+            if not room:
+                continue
+            best, at, to = 0, -1, -1
+            for n, i in enumerate(held):
+                x = bisect_right(lengths, size_of[i] + room) - 1
+                if x >= 0 and lengths[x] - size_of[i] > best:
+                    best, at, to = lengths[x] - size_of[i], n, x
+            if best:
+                out, held[at] = held[at], loose.pop(to)
+                del lengths[to]
+                self.full[k] += best
+                place = bisect_right(lengths, size_of[out])
+                lengths.insert(place, size_of[out])
+                loose.insert(place, out)
+        return loose
 
     def cross(self, donor: Packing, rng: np.random.Generator) -> Packing:
-        fills = donor.fills()
-        full = [k for k, f in enumerate(fills) if f >= 0.98 * self.capacity] or [int(np.argmax(fills))]
-        chosen = rng.permutation(full)[: max(1, len(full) // 2)]
+        """A child: some well-filled bins of the donor whole, the bins here without any of their pieces, and the
+        pieces of all others, and of the worst bins, put back by swaps and best fit."""
+        full = [k for k, f in enumerate(donor.full) if f >= 0.98 * self.capacity] or [int(np.argmax(donor.full))]
+        chosen = rng.permutation(full)[: int(rng.integers(1, max(2, len(full) // 10 + 2)))]
         injected = [list(donor.bins[k]) for k in chosen]
         there = {i for held in injected for i in held}
         kept, displaced = [], []
         for held in self.bins:
-            if any(i in there for i in held):
-                displaced += [i for i in held if i not in there]
-            else:
+            if there.isdisjoint(held):
                 kept.append(list(held))
-        if kept:  # the worst bin is opened too, so that its pieces may find better places
-            worst = min(range(len(kept)), key=lambda k: sum(self.sizes[i] for i in kept[k]))
-            displaced += kept.pop(worst)
+            else:
+                displaced += [i for i in held if i not in there]
         child = Packing(self.sizes, self.capacity, injected + kept)
-        child.insert(sorted(displaced, key=lambda i: -self.sizes[i]))
+        # the worst bins are opened too, so that their pieces may find better places
+        for k in sorted(np.argsort(child.full, kind="stable")[: 1 + len(child.bins) // 50].tolist(), reverse=True):
+            displaced += child.bins.pop(k)
+            del child.full[k]
+        displaced = child.improve(displaced)
+        noise = rng.uniform(0.97, 1.03, len(displaced)).tolist()
+        order = sorted(range(len(displaced)), key=lambda n: -self.sizes[displaced[n]] * noise[n])
+        child.insert([displaced[n] for n in order])
         return child
 
     def assignment(self) -> list[int]:
@@ -141,7 +173,10 @@ def from_assignment(sizes, capacity: int, assignment) -> Packing:
 
 
 def evolve(sizes, capacity: int, population: list[list[int]], settings: Settings, seed: int) -> list[list[int]]:
-    """Population after an epoch, best first, as assignments; an empty one is made anew."""
+    """Population after an epoch, best first, as assignments; an empty one is made anew.
+
+    An epoch ends early when as few bins are used as the sum of sizes allows.
+    """
     rng = np.random.default_rng(seed)
     sizes = [int(s) for s in sizes]
     bound = -(-sum(sizes) // capacity)
@@ -151,13 +186,14 @@ def evolve(sizes, capacity: int, population: list[list[int]], settings: Settings
         p = Packing(sizes, capacity)
         p.insert(np.argsort(-np.array(sizes) * noise, kind="stable").tolist())
         packs.append(p)
-    packs.sort(key=Packing.fitness, reverse=True)
+        packs.sort(key=Packing.fitness, reverse=True)
     for _ in range(settings.generations):
         if len(packs[0].bins) <= bound or len(packs) < 2:
             break
         a, b = rng.choice(len(packs), 2, replace=False)
         child = packs[a].cross(packs[b], rng)
-        packs = sorted([*packs, child], key=Packing.fitness, reverse=True)[: settings.population]
+        if all(child.fitness() != p.fitness() for p in packs):
+            packs = sorted([*packs, child], key=Packing.fitness, reverse=True)[: settings.population]
     return [p.assignment() for p in packs]
 
 
@@ -191,8 +227,10 @@ def pack(rows: DataFrame, capacity: int = 2048, settings: Settings | None = None
 
     schema = "instance long, island int, population array<array<int>>, neg_bins long, evenness long"
     state = sizes.select("instance", F.explode(F.sequence(F.lit(0), F.lit(s.islands - 1))).alias("island"), "sizes", F.expr("CAST(NULL AS array<array<int>>)").alias("population"))
+    # an explicit number: rows are small, but each is seconds of work, so tasks must not be joined by their size
+    tasks = min(n * s.islands, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * s.islands // 8))
     for number in range(s.epochs):
-        islands = written(state.repartition("instance", "island").mapInArrow(epoch(number), schema), "islands")
+        islands = written(state.repartition(tasks, "instance", "island").mapInArrow(epoch(number), schema), "islands")
         if number + 1 < s.epochs:
             elite = islands.select("instance", F.pmod(F.col("island") + 1, F.lit(s.islands)).cast("int").alias("island"), F.slice("population", 1, 1).alias("guest"))
             merged = islands.join(elite, ["instance", "island"]).join(sizes, "instance")
@@ -206,10 +244,12 @@ def pack(rows: DataFrame, capacity: int = 2048, settings: Settings | None = None
     return filled.unionByName(whole)
 
 
-def best_fit_packing(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, settings: Settings | None = None, with_ids: bool = False) -> DataFrame:
+def best_fit_packing(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, settings: Settings | None = None, with_ids: bool = False, special: bool = True) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset``.
 
+    ``special``: the tokenizer's special tokens are told by their strings in a text; else these are ordinary text.
+
     Null and empty texts are one piece of the end id.  Texts of any length are encoded whole.  A null ``doc_id`` is
     kept as it is; repeated rows are packed each for itself; other columns are ignored; no rows give no pieces.
     """
-    return pack(pieces(docs, tokenizer, capacity, end_id, with_ids), capacity, settings)
+    return pack(pieces(docs, tokenizer, capacity, end_id, with_ids, special), capacity, settings)
