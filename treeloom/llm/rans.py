@@ -30,6 +30,9 @@ PROBABILITY_BITS = 20
 LOW = np.uint64(1 << 31)
 BLOCK_IDS = 1 << 20
 CHECKPOINT_IDS = 1 << 18
+#: A file is closed after so many ids; a reading task decodes the documents that begin in so many ids of a file.
+FILE_IDS = 1 << 26
+CHUNK_IDS = 1 << 22
 
 
 class Frequencies:
@@ -199,32 +202,48 @@ class Reader:
             start += len(part)
         return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
-    def documents(self) -> Iterator[tuple[int | None, int, Iterator[np.ndarray]]]:
-        """``doc_id, start, parts of ids`` in order; parts of a document must be used up before the next one."""
-        k, buffer, start = 0, np.zeros(0, np.uint32), 0
+    def _decoded(self, start: int, stop: int) -> Iterator[np.ndarray]:
+        """ids from ``start`` up to ``stop``, block by block; the first one from the checkpoint before it."""
+        k = int(np.searchsorted(self.blocks[:, 2], start, side="right")) - 1
+        while start < stop:
+            first, n = self.blocks[k, 2:4].tolist()
+            mark = (start - first) // CHECKPOINT_IDS
+            part = decode_block(self.block(k), n, self.freq, mark, stop - first)[start - first - mark * CHECKPOINT_IDS :]
+            yield part
+            start += len(part)
+            k += 1
+
+    def documents(self, low: int = 0, high: int | None = None) -> Iterator[tuple[int | None, int, Iterator[np.ndarray]]]:
+        """``doc_id, start, parts of ids`` in order, of documents that begin at ids from ``low`` to below ``high``; parts
+        of a document must be used up before the next one."""
+        ends = np.cumsum(self.lengths)
+        starts = ends - self.lengths
+        a, b = np.searchsorted(starts, [low, int(ends[-1]) if high is None and len(ends) else high or 0]).tolist()
+        if a == b:
+            return
+        source, buffer = self._decoded(int(starts[a]), int(ends[b - 1])), np.zeros(0, np.uint32)
 
         def parts(n):
-            nonlocal k, buffer
+            nonlocal buffer
             while n:
                 if not len(buffer):
-                    buffer = decode_block(self.block(k), int(self.blocks[k, 3]), self.freq)
-                    k += 1
+                    buffer = next(source)
                 part, buffer = buffer[:n], buffer[n:]
                 n -= len(part)
                 yield part
 
-        for doc_id, null, n in zip(self.doc_ids.tolist(), self.nulls.tolist(), self.lengths.tolist()):
+        for doc_id, null, start, n in zip(*(x[a:b].tolist() for x in (self.doc_ids, self.nulls, starts, self.lengths))):
             yield (None if null else doc_id), start, parts(n)
-            start += n
 
 
 # ---------------------------------------------------------------- data sets
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, special: bool = True, file_ids: int = FILE_IDS) -> DataFrame:
     """Encode ``docs(doc_id, text, ...)`` and write token files below ``folder``; returns the list of files.
 
-    The list ``file_no int, name, n_docs, n_tokens, bytes`` is a table; ids ascend by ``doc_id`` from file to file
+    The list ``file_no, name, n_docs, n_tokens, bytes`` is a table; a task writes a file of ``file_ids`` ids after the
+    other.  Ids ascend by ``doc_id`` from file to file
     (null ids first, rows of one id by their tokens).  A null text has the end id alone; other columns are ignored;
     without rows there are no files.
     """
@@ -232,7 +251,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
     def encode(batches):
         from .tokens import encoder
 
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, special)
         end = np.array([end_id], dtype=enc.dtype).tobytes()
         for b in batches:
             for at in range(0, b.num_rows, 500):
@@ -263,13 +282,11 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
                 for doc_id, ids, width in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
                     yield doc_id, np.frombuffer(ids.as_buffer(), dtype=f"<u{width}").astype(np.uint32)
 
-        source = rows()
-        first = next(source, None)
-        if first is None:
-            return
-        part = TaskContext.get().partitionId()
-        done = write_file(folder, f"tokens-{part:06d}.rans", _chain(first, source), freq)
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *[pa.array([done[k]]) for k in ("name", "n_docs", "n_tokens", "bytes")]], names=["file_no", "name", "n_docs", "n_tokens", "bytes"])
+        source, part, number = rows(), TaskContext.get().partitionId(), 0
+        while (first := next(source, None)) is not None:
+            done = write_file(folder, f"tokens-{part:06d}-{number:06d}.rans", _limited(first, source, file_ids), freq)
+            yield pa.RecordBatch.from_arrays([pa.array([part << 32 | number]), *[pa.array([done[k]]) for k in ("name", "n_docs", "n_tokens", "bytes")]], names=["file_no", "name", "n_docs", "n_tokens", "bytes"])
+            number += 1
 
     spark = docs.sparkSession
     encoded = written(only(docs, "doc_id", "text").mapInArrow(encode, "doc_id long, ids binary, width int"), "ids")
@@ -282,12 +299,16 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
     with fs.open_output_stream(f"{root}/frequencies.bin") as out:
         out.write(Frequencies.of_counts(table).to_bytes())
     ordered = encoded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
-    return written(ordered.mapInArrow(write, "file_no int, name string, n_docs long, n_tokens long, bytes long"), "files")
+    return written(ordered.mapInArrow(write, "file_no long, name string, n_docs long, n_tokens long, bytes long"), "files")
 
 
-def _chain(first, rest):
-    yield first
-    yield from rest
+def _limited(first, rest, most: int):
+    """Documents until they have ``most`` ids, the last one whole."""
+    n = 0
+    while first is not None:
+        yield first
+        n += len(first[1])
+        first = next(rest, None) if n < most else None
 
 
 def _load(folder: str) -> Frequencies:
@@ -295,19 +316,23 @@ def _load(folder: str) -> Frequencies:
         return Frequencies.from_bytes(f.read())
 
 
-def read_token_files(files: DataFrame, folder: str) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` of every document, decoded from the files of ``write_token_files``."""
+def read_token_files(files: DataFrame, folder: str, chunk_ids: int = CHUNK_IDS) -> DataFrame:
+    """``doc_id, start, n_tokens, ids_crc32`` of every document, decoded from the files of ``write_token_files``.
+
+    A task decodes the documents that begin in ``chunk_ids`` ids of a file, from the checkpoint before them.
+    """
     spark = files.sparkSession
-    listed = files.orderBy("file_no").toPandas()  # one row per file
-    before = np.concatenate([[0], np.cumsum(listed.n_tokens.to_numpy(dtype=np.int64))])[:-1]
-    plan = list(zip(listed.name.tolist(), before.tolist()))
+    listed = files.orderBy("file_no").select("name", "n_tokens").collect()  # one row per file
+    before = np.concatenate([[0], np.cumsum([r.n_tokens for r in listed], dtype=np.int64)]).tolist()
+    plan = [(r.name, start, r.n_tokens) for r, start in zip(listed, before)]
+    chunks = sum(-(-r.n_tokens // chunk_ids) for r in listed)
 
     def read(batches):
         freq = _load(folder)
         for b in batches:
-            for name, before in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for name, before, chunk in zip(*[c.to_pylist() for c in b.columns]):
                 reader, rows = Reader(folder, name, freq), []
-                for doc_id, start, parts in reader.documents():
+                for doc_id, start, parts in reader.documents(chunk * chunk_ids, (chunk + 1) * chunk_ids):
                     n = crc = 0
                     for part in parts:
                         crc, n = zlib.crc32(part.astype("<u4"), crc), n + len(part)
@@ -316,8 +341,9 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
                     cols = list(zip(*rows[at : at + 10_000]))
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    todo = spark.createDataFrame(plan, "name string, before long").repartition(max(1, len(plan)))
-    return todo.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    todo = spark.createDataFrame(plan, "name string, before long, n_tokens long").where("n_tokens > 0")
+    todo = todo.select("name", "before", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_tokens") - 1) / chunk_ids).cast("int"))).alias("chunk"))
+    return todo.repartition(max(1, chunks)).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_folder(spark) -> str:
