@@ -35,7 +35,7 @@ def table(spark):
 
 
 def test_nearest(spark, table):
-    settings = neighbours.Settings(leaf=16, least=200, block=40)
+    settings = neighbours.Settings(leaf=16, least=100, block=40, bucket=64)
     got = neighbours.nearest(table, table.where("vec_id % 20 = 0"), 10, settings).collect()
     good = {r[0]: np.array(r[1], dtype=float) for r in vectors() if r[0] is not None and (r[0] < 1000 or r[0] == 1010)}
     by = defaultdict(list)
@@ -61,7 +61,7 @@ def test_repeated_rows_take_one_place(spark):
     x = rng.normal(size=(40, 8))
     rows = [(i, [float(a) for a in x[i] + 0.001 * (c % 3)]) for i in range(40) for c in range(30)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
-    everything = neighbours.Settings(leaf=2000, visit=3.0, block=400)  # blocks of many ids
+    everything = neighbours.Settings(leaf=2000, recall=1.0, block=400, bucket=1000)  # blocks of many ids
     got = defaultdict(list)
     for r in sorted(neighbours.nearest(frame, spark.createDataFrame([(i, x[i].tolist()) for i in range(6)], "vec_id long, embedding array<double>"), 5, everything).collect(), key=lambda r: r.rank):
         got[r.query_id].append(r)
@@ -76,13 +76,39 @@ def test_queue_goes_by_margin():
     x = rng.normal(size=(500, 8))
     trees = [neighbours.fit_tree(x, 20, rng) for _ in range(2)]
     sizes = [np.bincount(t.leaf_of(x), minlength=t.leaves) for t in trees]
-    found = neighbours.search_leaves(x[3], trees, sizes, 10**9)
+    found = neighbours.search_leaves(x[3], trees, sizes, float("inf"))
+    margins = [neighbours.leaf_margins(t, x[3]) for t in trees]
+    order = [margins[t][leaf] for t, leaf in found]
+    assert order == pytest.approx(sorted(order)) and len(neighbours.search_leaves(x[3], trees, sizes, order[10])) >= 11
     assert len(found) == len(set(found)) == sum(t.leaves for t in trees)
     assert set(found[:2]) >= {(0, int(trees[0].leaf_of(x[3:4])[0]))} or (1, int(trees[1].leaf_of(x[3:4])[0])) in found[:2]
     same = neighbours.fit_tree(np.ones((200, 4)), 16, rng)
     assert same.leaves == 1 and (same.leaf_of(np.ones((3, 4))) == 0).all()
 
 
+def test_clusters_need_few_leaves():
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(60, 32))
+    x = centres[rng.integers(0, 60, 8000)] + 0.15 * rng.normal(size=(8000, 32))
+    s, ids = neighbours.Settings(sample=3000, leaf=32, least=100), np.arange(8000)
+    some = rng.choice(8000, 3000, replace=False)
+    trees = [neighbours.fit_tree(x[some], s.leaf, rng) for _ in range(s.trees)]
+    share = neighbours.calibrate(x[some], ids[some], trees, 10, s, rng)
+    leaves = [t.leaf_of(x) for t in trees]
+    sizes = [np.bincount(leaf, minlength=t.leaves) for t, leaf in zip(trees, leaves)]
+    hits = seen = 0
+    for i in range(0, 8000, 100):
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        d[i] = np.inf
+        in_sample = np.sort(d[some])[9]
+        met = np.zeros(8000, bool)
+        for t, leaf in neighbours.search_leaves(x[i], trees, sizes, share * in_sample, s.least):
+            met |= leaves[t] == leaf
+        hits += met[np.argsort(d)[:10]].sum()
+        seen += met.sum()
+    assert hits / 800 >= 0.9 and seen / (80 * 8000) <= 0.3
+
+
 # ---------------------------------------------------------------- 8
 
 
@@ -98,10 +124,47 @@ def test_e8_points_are_nearest():
     assert ((twice % 2 == twice[:, :1] % 2).all()) and (home.sum(axis=1) % 2 == 0).all()
 
 
+def test_lattice_keys_find_pairs():
+    rng, s, n = np.random.default_rng(3), lattice.Settings(), 3000
+    tables, planes = lattice._directions(64, s)
+    a = rng.normal(size=(n, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    zero = np.zeros(n, np.uint64)
+    for cosine in (0.98, 0.985, 0.99):
+        r = rng.normal(size=(n, 64))
+        r -= (r * a).sum(axis=1, keepdims=True) * a
+        b = cosine * a + math.sqrt(1 - cosine**2) * r / np.linalg.norm(r, axis=1, keepdims=True)
+        met = np.zeros(n, bool)
+        for t in tables:
+            one, two = (lattice.keys_of(x, zero, t, s) for x in (a, b))
+            met |= (one[:, :, None] == two[:, None, :]).any(axis=(1, 2))
+        alike = ((a @ planes > 0) != (b @ planes > 0)).sum(axis=1) <= s.bits
+        assert met.mean() >= 0.999 and alike.mean() >= 0.999
+
+
+def test_spanning_links_connect():
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        near = rng.random((12, 9)) < 0.12
+        a, b = np.arange(12), np.arange(100, 109)
+        found = lattice._spanning(near, a, b)
+
+        def parts(links):
+            groups = []
+            for u, v in links:
+                hit = [g for g in groups if u in g or v in g]
+                groups = [g for g in groups if g not in hit] + [set().union({u, v}, *hit)]
+            return sorted(map(sorted, groups))
+
+        links = [(int(a[i]), int(b[j])) for i, j in zip(*np.nonzero(near))]
+        few = [tuple(map(int, r)) for r in np.concatenate([np.zeros((0, 2), int), *found])]
+        assert parts(few) == parts(links) and {tuple(sorted(x)) for x in few} <= set(links)
+
+
 def test_lattice_links(table):
     rows = vectors()
     got = lattice.near_duplicates(table, 0.98, lattice.Settings(block=16)).collect()
-    dealt = lattice.near_duplicates(table, 0.98, lattice.Settings(block=16, cell_block=10)).collect()
+    dealt = lattice.near_duplicates(table, 0.98, lattice.Settings(block=500)).collect()
     assert Counter(map(tuple, dealt)) == Counter(map(tuple, got))
     ok = [k for k, r in enumerate(rows) if r[0] is not None and r[2] is not None and (r[0] < 1000)]
     x = np.array([rows[k][1] for k in ok])
@@ -149,18 +212,38 @@ def test_archives(spark, tmp_path):
     r = next(r for r in got if r.page_id == 102 or r.page_id == 103)
     head, _ = warc.Bundle(folder, r.bundle).record(r.record)
     assert head["X-Page-Id"] == str(r.page_id)
+    for r in got:  # by identifier: a frame and an offset
+        bundle, name = warc.Bundle(folder, r.bundle), warc.record_uuid(r.page_id, r.payload_digest)
+        head, _ = bundle.find(name)
+        assert head["WARC-Record-ID"] == f"<urn:uuid:{name}>" and head.get("X-Page-Id") == (None if r.page_id is None else str(r.page_id))
+        if r.record_type == "revisit":
+            assert head["WARC-Refers-To"] == warc.record_id(r.refers_to, r.payload_digest)
+    assert bundle.find(warc.record_uuid(-5, "0")) is None
     empty = f"file://{tmp_path}/e"
     assert warc.read_archives(warc.write_archives(table.limit(0), empty), empty).count() == 0
 
 
+def test_archives_with_a_crowded_sieve(spark, tmp_path, monkeypatch):
+    from treeloom.llm import _shared
+
+    table = spark.createDataFrame(pages(), "page_id long, url string, html string, digest string").repartition(3)
+    rows = lambda found: Counter((r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in found.collect())
+    want = rows(warc.read_archives(warc.write_archives(table, f"file://{tmp_path}/w"), f"file://{tmp_path}/w"))
+    monkeypatch.setattr(_shared, "SIEVE_BITS", 8)  # nearly all rows pass it by chance
+    bundles = warc.write_archives(table, f"file://{tmp_path}/x", bundle_bytes=3000)
+    assert rows(warc.read_archives(bundles, f"file://{tmp_path}/x")) == want and bundles.count() > 10
+
+
 def test_bundles_are_plain_zstandard(tmp_path, monkeypatch):
     import zstandard
 
     monkeypatch.setattr(warc, "FRAME_BYTES", 500)
     records = [warc.build_record(i, "u", b"abc" * i, hashlib.sha1(b"abc" * i).digest(), 3 * i, None) for i in range(50)]
-    done = warc.write_bundle(str(tmp_path), "b.warc.zst", iter(records))
+    names = [warc.record_uuid(i, hashlib.sha1(b"abc" * i).hexdigest()) for i in range(50)]
+    done = warc.write_bundle(str(tmp_path), "b.warc.zst", zip(names, records))
     bundle = warc.Bundle(str(tmp_path), done["name"])
     assert len(bundle.frames) > 5 and bundle.record(33)[0]["X-Page-Id"] == "33" and len(list(bundle)) == 50
+    assert bundle.find(names[44])[0]["X-Page-Id"] == "44"
     with open(tmp_path / done["name"], "rb") as f:
         assert zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True).read() == b"".join(records)
 
