@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +78,25 @@ def reachable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
 
 
+#: What a worker keeps from task to task, by name, and how it is dropped.
+kept_by_workers: dict[str, Callable[[], None]] = {}
+
+
+def tidy(run, keep: str = ""):
+    """``run`` for ``mapInArrow``: frees what other operators keep in a reused worker, and unused memory at the end."""
+
+    def work(batches):
+        for name, drop in kept_by_workers.items():
+            if name != keep:
+                drop()
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return work
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -125,55 +146,50 @@ def open_input(folder: str, name: str):
     return fs_.open_input_file(f"{root}/{name}")
 
 
-def thinned(edges: DataFrame) -> DataFrame:
-    """``src, dst`` with the same components, but only a spanning forest of what each task holds.
+def thin(batches):
+    """Of the edges (``src, dst``) that a task makes a spanning forest, which connects the same.
 
-    A task's memory is bounded: after ``THIN_EDGES`` edges the forest so far is given out.
+    Memory is bounded: after ``THIN_EDGES`` edges the forest so far is given out.
     """
-
-    def run(batches):
-        parent: dict[int, int] = {}
-        found: list[tuple[int, int]] = []
-        seen = 0
-
-        def forest():
-            a, b = zip(*found)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["src", "dst"])
-
-        for batch in batches:
-            pairs = np.unique(np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1), axis=0)
-            for a, b in pairs.tolist():
-                u, v = a, b
-                while (up := parent.setdefault(u, u)) != u:
-                    parent[u] = u = parent[up]
-                while (up := parent.setdefault(v, v)) != v:
-                    parent[v] = v = parent[up]
-                if u != v:
-                    parent[max(u, v)] = min(u, v)
-                    found.append((a, b))
-            seen += len(pairs)
-            if seen >= THIN_EDGES:
-                if found:
-                    yield forest()
-                parent, found, seen = {}, [], 0
-        if found:
-            yield forest()
-
-    return edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).mapInArrow(run, "src long, dst long")
+    parent: dict[int, int] = {}
+    found: list[np.ndarray] = []
+    seen = 0
+    for batch in batches:
+        pairs = np.unique(np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1), axis=0)
+        kept = np.zeros(len(pairs), bool)
+        for k, (u, v) in enumerate(pairs.tolist()):
+            while (up := parent.setdefault(u, u)) != u:
+                parent[u] = u = parent[up]
+            while (up := parent.setdefault(v, v)) != v:
+                parent[v] = v = parent[up]
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+                kept[k] = True
+        found.append(pairs[kept])
+        seen += len(pairs)
+        if seen >= THIN_EDGES:
+            yield _edges(found)
+            parent, found, seen = {}, [], 0
+    yield _edges(found)
+
+
+def _edges(found: list[np.ndarray]) -> pa.RecordBatch:
+    both = np.concatenate([np.zeros((0, 2), np.int64), *found])
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["src", "dst"])
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """Components of an undirected graph given as ``edges(src long, dst long)``.
 
     Returns ``node long, component long`` for every node that has an edge to another one; ``component`` is one node of
-    the component, the same for all its nodes.  Edges are first thinned to spanning forests, task by task and again
-    after they are written.  Then each round contracts every node into its neighbour of least hash, if that is less
+    the component, the same for all its nodes.  Edges are written and thinned to spanning forests, task by task (a
+    caller whose own task makes the edges thins them there already).  Then each round contracts every node into its neighbour of least hash, if that is less
     than its own; rounds' maps are written to the shared folder and composed at the end, from the last, smallest one
     back.  A hub's edges are only summed by partial aggregation or joined with a written table of one row per node, so
     Spark can split them, and nothing is gathered on the driver.
     """
-    e = written(thinned(edges.where("src <> dst")), "cc")
-    e = written(thinned(e).distinct(), "cc")
+    e = written(edges.where("src <> dst").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")), "cc")
+    e = written(e.mapInArrow(tidy(thin), "src long, dst long").distinct(), "cc")
     maps: list[DataFrame] = []
     for _ in range(max_rounds):
         if e.isEmpty():

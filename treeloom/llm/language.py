@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import only, written
+from ._shared import only, tidy, written
 
 ORDERS = (1, 2, 3)
 #: Characters of a text that are hashed at once.
@@ -99,7 +99,7 @@ def _document_frequencies(texts: DataFrame, bits: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(found, width), pa.int32()), pa.array(np.append(df[found], n))], names=["f", "n"])
 
     out = np.zeros(width + 1, np.int64)
-    found = texts.mapInArrow(run, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).toArrow()  # at most 2**bits + 1 rows
+    found = texts.mapInArrow(tidy(run), "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).toArrow()  # at most 2**bits + 1 rows
     out[found["f"].to_numpy()] = found["n"].to_numpy()
     return out
 
@@ -195,7 +195,7 @@ def train(labelled: DataFrame, settings: Settings | None = None) -> Model | None
 
     weights, bias, temperature = np.zeros((len(languages), 1 << s.bits), np.float32), np.zeros(len(languages)), 1.0
     one_task = sample.select("mark", "lang", "text").repartition(1)
-    for r in one_task.mapInArrow(fit, "k int, ids binary, weights binary, bias double, temperature double").collect():  # one row per language
+    for r in one_task.mapInArrow(tidy(fit), "k int, ids binary, weights binary, bias double, temperature double").collect():  # one row per language
         weights[r.k][np.frombuffer(r.ids, "<i4")] = np.frombuffer(r.weights, "<f4")
         bias[r.k], temperature = r.bias, r.temperature
     shared.destroy()
@@ -236,7 +236,7 @@ def predict(docs: DataFrame, model: Model | None, keep: bool = False) -> DataFra
     from pyspark.sql import types as T
 
     fields = rows.schema.fields[:-1] if keep else [rows.schema["doc_id"]]
-    return rows.mapInArrow(run, T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return rows.mapInArrow(tidy(run), T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def held_out(doc_id):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import connected_components, only, sieve, sifted, written
+from ._shared import connected_components, only, sieve, sifted, thin, tidy, written
 from .neighbours import usable
 
 
@@ -191,7 +191,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, settings: Settings
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, width, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), part.column(4), pa.array(sketch.view(np.int64)), lists], names=["vec_id", "d", "e", "sketch", "cells"])
 
-    filed = written(clean.mapInArrow(file, "vec_id long, d long, e long, sketch long, cells array<long>"), "filed")
+    filed = written(clean.mapInArrow(tidy(file), "vec_id long, d long, e long, sketch long, cells array<long>"), "filed")
     folded = filed.groupBy("d", "e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("sketch").alias("sketch"), F.first("cells").alias("cells"))
     classes = written(folded, "classes")
 
@@ -212,7 +212,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, settings: Settings
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["src", "dst"])
 
     keyed = classes.select(F.explode("cells").alias("key"), "d", "sketch").repartition("key").sortWithinPartitions("key")
-    candidates = connected_components(keyed.mapInArrow(lambda bs: _runs(bs, meet, 1), "src long, dst long"))
+    candidates = connected_components(keyed.mapInArrow(tidy(lambda bs: thin(_runs(bs, meet, 1))), "src long, dst long"))
 
     members = written(classes.join(candidates, classes.d == candidates.node).select("component", "d", "e", "rep", "n"), "members")
     sizes = written(members.groupBy("component").agg(F.ceil(F.count("*") / s.block).cast("int").alias("blocks")), "sizes")
@@ -248,7 +248,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, settings: Settings
             links = np.concatenate([c[1] for c in counts] + [np.zeros(len(both), np.int64)]).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(links)], names=["src", "dst", "links"])
 
-    checked = pairs.repartition(*place).sortWithinPartitions(*place).mapInArrow(lambda bs: _runs(bs, verify, 3), "src long, dst long, links long")
+    checked = pairs.repartition(*place).sortWithinPartitions(*place).mapInArrow(tidy(lambda bs: _runs(bs, verify, 3)), "src long, dst long, links long")
     checked = written(checked, "checked")
     linked = connected_components(checked.where("src <> dst").select("src", "dst"))
     counted = checked.where("src = dst").groupBy(F.col("src").alias("c")).agg(F.sum("links").alias("links"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import only
+from ._shared import only, tidy
 
 
 @dataclass(frozen=True)
@@ -221,7 +221,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, settings: Setti
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["leaf", "n"])
 
     sizes = np.zeros(offsets[-1], np.int64)
-    for r in clean.select("v").mapInArrow(tally, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect():  # one row per leaf
+    for r in clean.select("v").mapInArrow(tidy(tally), "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect():  # one row per leaf
         sizes[r.leaf] = r.n
     parts = np.maximum(1, -(-sizes // s.block))  # blocks of each leaf
     starts = np.concatenate([[0], np.cumsum(parts)])[:-1]  # blocks are numbered through
@@ -293,9 +293,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, settings: Setti
                     yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
     schema = f"bucket long, kind int, id long, v {kind}, blocks array<long>"
-    rows = clean.mapInArrow(assign, schema).union(asked.mapInArrow(probe, schema))
+    rows = clean.mapInArrow(tidy(assign), schema).union(asked.mapInArrow(tidy(probe), schema))
     # a task holds one bucket of vectors and one batch of queries at a time
-    pairs = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(compare, "query_id long, vec_id long, score double")
+    pairs = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(tidy(compare), "query_id long, vec_id long, score double")
     once = pairs.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

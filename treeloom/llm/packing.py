@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import only, written
+from ._shared import only, tidy, written
 
 
 @dataclass(frozen=True)
@@ -61,7 +61,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
-    return only(docs, "doc_id", "text").mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
+    return only(docs, "doc_id", "text").mapInArrow(tidy(run, "tokens"), PIECES + (", ids array<int>" if with_ids else ""))
 
 
 # ---------------------------------------------------------------- one instance
@@ -230,7 +230,7 @@ def pack(rows: DataFrame, capacity: int = 2048, settings: Settings | None = None
     # an explicit number: rows are small, but each is seconds of work, so tasks must not be joined by their size
     tasks = min(n * s.islands, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * s.islands // 8))
     for number in range(s.epochs):
-        islands = written(state.repartition(tasks, "instance", "island").mapInArrow(epoch(number), schema), "islands")
+        islands = written(state.repartition(tasks, "instance", "island").mapInArrow(tidy(epoch(number)), schema), "islands")
         if number + 1 < s.epochs:
             elite = islands.select("instance", F.pmod(F.col("island") + 1, F.lit(s.islands)).cast("int").alias("island"), F.slice("population", 1, 1).alias("guest"))
             merged = islands.join(elite, ["instance", "island"]).join(sizes, "instance")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import only, written
+from ._shared import only, tidy, written
 
 #: Bytes of a text that are hashed at once; parts end at white space.
 PART_BYTES = 1 << 20
@@ -142,7 +142,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, settings: Settings | None = N
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), *[pa.array(c[found]) for c in counts]], names=["f", "raw", "target"])
 
     counts = np.zeros((2, width))
-    found = marked.select("text", "good").mapInArrow(run, "f int, raw long, target long").groupBy("f").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()  # at most 2**bits rows
+    found = marked.select("text", "good").mapInArrow(tidy(run), "f int, raw long, target long").groupBy("f").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()  # at most 2**bits rows
     counts[:, found["f"].to_numpy()] = found["raw"].to_numpy(), found["target"].to_numpy()
     if not counts[1].sum():
         return np.zeros(width)
@@ -184,7 +184,7 @@ def score(docs: DataFrame, ratios: np.ndarray, settings: Settings | None = None,
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(w, pa.float64())], names=names)
 
     fields = rows.schema.fields if keep else [rows.schema["doc_id"], rows.schema["mark"]]
-    out = rows.mapInArrow(run, T.StructType([*fields, T.StructField("n_features", T.LongType()), T.StructField("log_weight", T.DoubleType())]))
+    out = rows.mapInArrow(tidy(run), T.StructType([*fields, T.StructField("n_features", T.LongType()), T.StructField("log_weight", T.DoubleType())]))
     mark = F.xxhash64("doc_id", "text", F.lit(s.seed)) if keep else F.col("mark")
     uniform = (F.shiftrightunsigned(mark, 12).cast("double") + 0.5) / float(1 << 52)
     out = out.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform)))

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import AtomicFile, file_system, new_dir, only, open_input, written
+from ._shared import AtomicFile, file_system, new_dir, only, open_input, tidy, written
 
 MAGIC = b"TLRANS01"
 LANES = 1024
@@ -289,8 +289,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
             number += 1
 
     spark = docs.sparkSession
-    encoded = written(only(docs, "doc_id", "text").mapInArrow(encode, "doc_id long, ids binary, width int"), "ids")
-    counts = encoded.select("ids", "width").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most the vocabulary
+    encoded = written(only(docs, "doc_id", "text").mapInArrow(tidy(encode, "tokens"), "doc_id long, ids binary, width int"), "ids")
+    counts = encoded.select("ids", "width").mapInArrow(tidy(count), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most the vocabulary
     table = np.zeros(max((r.id for r in counts), default=0) + 1, dtype=np.int64)
     for r in counts:
         table[r.id] = r.n
@@ -299,7 +299,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
     with fs.open_output_stream(f"{root}/frequencies.bin") as out:
         out.write(Frequencies.of_counts(table).to_bytes())
     ordered = encoded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
-    return written(ordered.mapInArrow(write, "file_no long, name string, n_docs long, n_tokens long, bytes long"), "files")
+    return written(ordered.mapInArrow(tidy(write), "file_no long, name string, n_docs long, n_tokens long, bytes long"), "files")
 
 
 def _limited(first, rest, most: int):
@@ -343,7 +343,7 @@ def read_token_files(files: DataFrame, folder: str, chunk_ids: int = CHUNK_IDS)
 
     todo = spark.createDataFrame(plan, "name string, before long, n_tokens long").where("n_tokens > 0")
     todo = todo.select("name", "before", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_tokens") - 1) / chunk_ids).cast("int"))).alias("chunk"))
-    return todo.repartition(max(1, chunks)).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return todo.repartition(max(1, chunks)).mapInArrow(tidy(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_folder(spark) -> str:

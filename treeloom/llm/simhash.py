@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import connected_components, only, sieve, sifted, written
+from ._shared import connected_components, only, sieve, sifted, thin, tidy, written
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 (fixed value).
@@ -152,7 +152,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
             fps = np.array([fingerprint(t.as_py(), width) for t in b.column(1)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
-    return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return only(docs, "doc_id", "text").mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def _forest(fps: np.ndarray, most: int) -> list[np.ndarray]:
@@ -211,8 +211,8 @@ def links(distinct: DataFrame, most: int = 4) -> DataFrame:
         if len(keys):
             yield batch(list(close(keys, fps)))
 
-    keyed = distinct.select("fp").mapInArrow(spread, "key int, fp long")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(verify, "src long, dst long")
+    keyed = distinct.select("fp").mapInArrow(tidy(spread), "key int, fp long")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(lambda bs: thin(verify(bs))), "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, most: int = 4, width: int = 4) -> DataFrame:
@@ -266,6 +266,11 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _print(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One number for each pair of fingerprints."""
+    return _mixed(a ^ _mixed(b))
+
+
 def describe(text: str | None, width: int) -> tuple[int, int, np.ndarray]:
     """Two fingerprints of the distinct shingles, and their 64-bit hashes in ascending order.
 
@@ -323,7 +328,7 @@ def _similar(docs: DataFrame, width: int, least: float, block: int) -> tuple[Dat
                     yield pa.RecordBatch.from_arrays([pa.array((keys + (3 * f << 24)).astype(np.int32)), taken.column(0), taken.column(1)], names=["key", "a", "b"])
 
     def loose(batches):
-        held, width_ = np.zeros((0, 3), np.int64), ["a1", "b1", "a2", "b2"]
+        held = np.zeros((0, 3), np.int64)
 
         def close(rows):
             cuts = np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1
@@ -342,7 +347,7 @@ def _similar(docs: DataFrame, width: int, least: float, block: int) -> tuple[Dat
                             queue.extend(found)
                             left = left[~near]
             both = np.concatenate(out) if out else np.zeros((0, 4), np.uint64)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, k].copy().view(np.int64)) for k in range(4)], names=width_)
+            return pa.RecordBatch.from_arrays([pa.array(_print(both[:, k], both[:, k + 1]).view(np.int64)) for k in (0, 2)], names=["src", "dst"])
 
         for b in batches:
             held = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns], axis=1)])
@@ -380,16 +385,20 @@ def _similar(docs: DataFrame, width: int, least: float, block: int) -> tuple[Dat
                 sets.append(np.frombuffer(b.column(4)[i].as_py(), np.uint64))
         yield from _verified(np.array(nodes, np.int64), sets, least)
 
+    def named(batches):
+        for b in batches:
+            found = _print(*(b.column(k).to_numpy().view(np.uint64) for k in (2, 3)))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found.view(np.int64))], names=["doc_id", "mark", "a", "b", "d", "e", "n", "print"])
+
     # the mark finds a class's text again, whose complete set is needed only if the class has candidates
     texts = _marked(docs)
-    prints = written(texts.mapInArrow(spell, "doc_id long, mark long, a long, b long, d long, e long, n long"), "prints")
-    node, group = F.xxhash64("d", "e"), F.xxhash64("a", "b")
+    prints = written(texts.mapInArrow(tidy(lambda bs: named(spell(bs))), "doc_id long, mark long, a long, b long, d long, e long, n long, print long"), "prints")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
-    folded = prints.groupBy("d", "e").agg(F.min(order).alias("first"), F.min("mark").alias("mark"), F.min_by(F.struct("a", "b", "n"), "mark").alias("of"))
-    classes = written(folded.select("d", "e", "first", "mark", "of.*").withColumn("node", node).withColumn("print", group), "classes")
-    keyed = classes.select("a", "b").distinct().mapInArrow(spread, "key int, a long, b long")
-    near = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(loose, "a1 long, b1 long, a2 long, b2 long")
-    groups = connected_components(near.select(F.xxhash64("a1", "b1").alias("src"), F.xxhash64("a2", "b2").alias("dst"))).withColumnRenamed("node", "m")
+    folded = prints.groupBy("d", "e").agg(F.min(order).alias("first"), F.min("mark").alias("mark"), F.min_by(F.struct("a", "b", "n", "print"), "mark").alias("of"))
+    classes = written(folded.select("d", "e", "first", "mark", "of.*").withColumn("node", F.xxhash64("d", "e")), "classes")
+    keyed = classes.select("a", "b").distinct().mapInArrow(tidy(spread), "key int, a long, b long")
+    near = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(lambda bs: thin(loose(bs))), "src long, dst long")
+    groups = connected_components(near).withColumnRenamed("node", "m")
     # a fingerprint without links can still have several classes
     members = classes.join(groups, classes["print"] == groups.m, "left").select(F.coalesce("component", "print").alias("component"), "node", "mark", "d", "n")
     members = written(members, "members")
@@ -399,12 +408,12 @@ def _similar(docs: DataFrame, width: int, least: float, block: int) -> tuple[Dat
     # only texts that the sieve lets through are shuffled
     wanted = sifted(texts.select("mark", "text"), "mark", sieve(members.select("mark")), "treeloom hit").where("`treeloom hit`").select("mark", "text")
     chosen = wanted.join(members, "mark").select("component", "node", "blocks", "d", "text")
-    dealt = chosen.mapInArrow(shingle, "component long, node long, blocks int, shingles binary")
+    dealt = chosen.mapInArrow(tidy(shingle), "component long, node long, blocks int, shingles binary")
     dealt = dealt.withColumn("own", F.pmod("node", F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = ["component", "low", "high"]  # about two blocks at most
     pairs = dealt.select("component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "shingles")
-    links_ = pairs.repartition(*pair).sortWithinPartitions(*pair, "node").mapInArrow(verify, "src long, dst long")
+    links_ = pairs.repartition(*pair).sortWithinPartitions(*pair, "node").mapInArrow(tidy(lambda bs: thin(verify(bs))), "src long, dst long")
     linked = connected_components(links_).withColumnRenamed("node", "m")
     named = classes.join(linked, classes.node == linked.m).select("d", "e", "component", "first")
     low = written(named.groupBy("component").agg(F.min("first").alias("best")), "best")

@@ -14,6 +14,8 @@ from array import array
 
 import numpy as np
 
+from ._shared import kept_by_workers
+
 #: Entries of each of the two generations of a worker's cache.
 CACHE_UNITS = 800_000
 #: Longer units are encoded, but not kept.
@@ -154,6 +156,9 @@ class Encoder:
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
+kept_by_workers["tokens"] = _encoders.clear
+
+
 def encoder(path: str, special: bool = True) -> Encoder:
     """The worker's encoder for a tokenizer file."""
     if (path, special) not in _encoders:

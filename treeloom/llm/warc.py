@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import AtomicFile, new_dir, only, open_input, sieve, sifted, written
+from ._shared import AtomicFile, new_dir, only, open_input, sieve, sifted, tidy, written
 
 FRAME_BYTES = 1 << 18
 REVISIT_BYTES = 1000
@@ -218,7 +218,7 @@ def write_archives(pages: DataFrame, folder: str, bundle_bytes: int = BUNDLE_BYT
             yield pa.RecordBatch.from_arrays([pa.array([done[k]]) for k in ("name", "records", "bytes")], names=["name", "records", "bytes"])
             number += 1
 
-    return written(roles(pages).mapInArrow(run, "name string, records long, bytes long"), "bundles")
+    return written(roles(pages).mapInArrow(tidy(run), "name string, records long, bytes long"), "bundles")
 
 
 def _limited(first, rest, most: int):
@@ -265,7 +265,7 @@ def read_archives(bundles: DataFrame, folder: str) -> DataFrame:
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, bundle string, record long, frame long, frame_offset long"
     # a name is a few bytes, but seconds of work: an explicit number of tasks, at most TASK_BUNDLES for each
     tasks = max(1, -(-bundles.count() // TASK_BUNDLES))
-    return bundles.select("name").repartition(tasks).mapInArrow(read, schema)
+    return bundles.select("name").repartition(tasks).mapInArrow(tidy(read), schema)
 
 
 def archive_folder(spark) -> str:
