@@ -151,6 +151,35 @@ def open_input(folder: str, name: str):
     return fs_.open_input_file(f"{root}/{name}")
 
 
+def whole_buckets(batches):
+    """Rows of a partition sorted by its first column, as matrices of whole numbers that end where that changes.
+
+    A bucket that spans many batches is joined once.
+    """
+    held: list[np.ndarray] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns], axis=1)
+        cut = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+        if held and (cut or held[-1][-1, 0] != rows[-1, 0]):
+            yield np.concatenate([*held, rows[:cut]])
+            held = []
+        elif cut:
+            yield rows[:cut]
+        held.append(rows[cut:])
+    if held:
+        yield np.concatenate(held)
+
+
+def shared_buckets(rows: np.ndarray):
+    """The rows of each bucket, without the first column, of more than one row."""
+    cuts = np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1
+    starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(rows)]])
+    for i in np.flatnonzero(ends - starts > 1):
+        yield rows[starts[i] : ends[i], 1:]
+
+
 def thin(batches):
     """Of the edges (``src, dst``) that a task makes a spanning forest, which connects the same.
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import connected_components, only, sieve, sifted, thin, tidy, written
+from ._shared import connected_components, only, shared_buckets, sieve, sifted, thin, tidy, whole_buckets, written
 from .neighbours import usable
 
 
@@ -195,24 +195,24 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, settings: Settings
     folded = filed.groupBy("d", "e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("sketch").alias("sketch"), F.first("cells").alias("cells"))
     classes = written(folded, "classes")
 
-    def meet(table):
-        left = np.unique(np.stack([table.column(c).to_numpy() for c in (1, 2)], axis=1), axis=0)
-        found = []
-        while len(left) > 1:
-            queue, left = [left[0]], left[1:]
-            while queue and len(left):
-                at = queue.pop()
-                near = np.bitwise_count((left[:, 1] ^ at[1]).view(np.uint64)) <= s.bits
-                if near.any():
-                    found.append(np.stack([np.full(int(near.sum()), at[0]), left[near][:, 0]], axis=1))
-                    queue.extend(left[near])
-                    left = left[~near]
-        if found:
+    def meet(batches):
+        for rows in whole_buckets(batches):
+            found = [np.zeros((0, 2), np.int64)]
+            for left in shared_buckets(rows):
+                while len(left) > 1:
+                    queue, left = [left[0]], left[1:]
+                    while queue and len(left):
+                        at = queue.pop()
+                        near = np.bitwise_count((left[:, 1] ^ at[1]).view(np.uint64)) <= s.bits
+                        if near.any():
+                            found.append(np.stack([np.full(int(near.sum()), at[0]), left[near][:, 0]], axis=1))
+                            queue.extend(left[near])
+                            left = left[~near]
             both = np.concatenate(found)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["src", "dst"])
 
     keyed = classes.select(F.explode("cells").alias("key"), "d", "sketch").repartition("key").sortWithinPartitions("key")
-    candidates = connected_components(keyed.mapInArrow(tidy(lambda bs: thin(_runs(bs, meet, 1))), "src long, dst long"))
+    candidates = connected_components(keyed.mapInArrow(tidy(lambda bs: thin(meet(bs))), "src long, dst long"))
 
     members = written(classes.join(candidates, classes.d == candidates.node).select("component", "d", "e", "rep", "n"), "members")
     sizes = written(members.groupBy("component").agg(F.ceil(F.count("*") / s.block).cast("int").alias("blocks")), "sizes")
