@@ -464,6 +464,23 @@ def test_repeated_words_are_no_copies(spark):
     assert simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).count() == 2
 
 
+def test_buckets_across_batches():
+    import pyarrow as pa
+
+    from treeloom.llm._shared import shared_buckets, whole_buckets
+
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        keys = np.sort(rng.integers(-3, 6, rng.integers(0, 25)))
+        cuts = np.sort(rng.integers(0, len(keys) + 1, 4)).tolist()
+        batches = [pa.RecordBatch.from_arrays([pa.array(keys[a:b]), pa.array(np.arange(a, b))], names=["key", "n"]) for a, b in zip([0, *cuts], [*cuts, len(keys)])]
+        got = list(whole_buckets(batches))
+        assert np.concatenate([np.zeros((0, 2), int), *got])[:, 1].tolist() == list(range(len(keys)))
+        assert all(a[-1, 0] != b[0, 0] for a, b in zip(got, got[1:]))
+        sizes = sorted(len(x) for rows in got for x in shared_buckets(rows))
+        assert sizes == sorted(n for n in Counter(keys.tolist()).values() if n > 1)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import connected_components, only, sieve, sifted, thin, tidy, written
+from ._shared import connected_components, only, shared_buckets, sieve, sifted, thin, tidy, whole_buckets, written
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 (fixed value).
@@ -188,28 +188,10 @@ def links(distinct: DataFrame, most: int = 4) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(part[rows].view(np.int64))], names=["key", "fp"])
 
     def verify(batches):
-        keys, fps = np.zeros(0, np.int32), np.zeros(0, np.uint64)
-
-        def close(keys, fps):
-            edges = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-            starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(keys)]])
-            for i in np.flatnonzero(ends - starts > 1):
-                yield from _forest(fps[starts[i] : ends[i]], most)
-
-        def batch(found):
-            both = np.concatenate(found) if found else np.zeros((0, 2), np.uint64)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, k].copy().view(np.int64)) for k in (0, 1)], names=["src", "dst"])
-
-        for b in batches:
-            keys = np.concatenate([keys, b.column(0).to_numpy(zero_copy_only=False)])
-            fps = np.concatenate([fps, b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
-            if not len(keys) or keys[0] == keys[-1]:  # one bucket so far: it may go on
-                continue
-            last = int(np.searchsorted(keys, keys[-1]))
-            yield batch(list(close(keys[:last], fps[:last])))
-            keys, fps = keys[last:], fps[last:]
-        if len(keys):
-            yield batch(list(close(keys, fps)))
+        for rows in whole_buckets(batches):
+            found = [x for left in shared_buckets(rows) for x in _forest(np.ascontiguousarray(left[:, 0]).view(np.uint64), most)]
+            both = np.concatenate([np.zeros((0, 2), np.uint64), *found])
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, k].copy().view(np.int64)) for k in (0, 1)], names=["src", "dst"])
 
     keyed = distinct.select("fp").mapInArrow(tidy(spread), "key int, fp long")
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(lambda bs: thin(verify(bs))), "src long, dst long")
@@ -328,14 +310,9 @@ def _similar(docs: DataFrame, width: int, least: float, block: int) -> tuple[Dat
                     yield pa.RecordBatch.from_arrays([pa.array((keys + (3 * f << 24)).astype(np.int32)), taken.column(0), taken.column(1)], names=["key", "a", "b"])
 
     def loose(batches):
-        held = np.zeros((0, 3), np.int64)
-
-        def close(rows):
-            cuts = np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1
-            starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(rows)]])
-            out = []
-            for i in np.flatnonzero(ends - starts > 1):
-                left = rows[starts[i] : ends[i], 1:].view(np.uint64)
+        for rows in whole_buckets(batches):
+            out = [np.zeros((0, 4), np.uint64)]
+            for left in shared_buckets(rows.view(np.uint64)):
                 while len(left) > 1:
                     queue, left = [left[0]], left[1:]
                     while queue and len(left):
@@ -346,18 +323,8 @@ def _similar(docs: DataFrame, width: int, least: float, block: int) -> tuple[Dat
                             out.append(np.concatenate([np.broadcast_to(at, found.shape), found], axis=1))
                             queue.extend(found)
                             left = left[~near]
-            both = np.concatenate(out) if out else np.zeros((0, 4), np.uint64)
-            return pa.RecordBatch.from_arrays([pa.array(_print(both[:, k], both[:, k + 1]).view(np.int64)) for k in (0, 2)], names=["src", "dst"])
-
-        for b in batches:
-            held = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns], axis=1)])
-            if not len(held) or held[0, 0] == held[-1, 0]:  # one bucket so far: it may go on
-                continue
-            last = int(np.searchsorted(held[:, 0], held[-1, 0]))
-            yield close(held[:last])
-            held = held[last:]
-        if len(held):
-            yield close(held)
+            both = np.concatenate(out)
+            yield pa.RecordBatch.from_arrays([pa.array(_print(both[:, k], both[:, k + 1]).view(np.int64)) for k in (0, 2)], names=["src", "dst"])
 
     def shingle(batches):
         for b in batches:
