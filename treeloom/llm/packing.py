@@ -49,11 +49,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
         enc = encoder(tokenizer, special)
         names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part, cols = b.slice(at, 500), [[] for _ in names]
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1)):
-                    ids = np.frombuffer(enc.encode(text.as_py()), dtype=enc.dtype).astype("<u4")
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+            for at in range(0, b.num_rows, 2000):
+                part, cols = b.slice(at, 2000), [[] for _ in names]
+                for doc_id, found in zip(part.column(0).to_pylist(), enc.encode_many(part.column(1).to_pylist())):
+                    ids = np.append(np.frombuffer(found, dtype=enc.dtype).astype("<u4"), np.uint32(end_id)).astype("<u4")
                     for n, start in enumerate(range(0, len(ids), capacity)):
                         piece = ids[start : start + capacity]
                         for c, v in zip(cols, (doc_id, n, start, len(piece), zlib.crc32(piece), piece.tolist() if with_ids else None)):

@@ -25,14 +25,14 @@ from pyspark.sql import functions as F
 from ._shared import AtomicFile, file_system, new_dir, only, open_input, tidy, written
 
 MAGIC = b"TLRANS01"
-LANES = 1024
+LANES = 2048
 PROBABILITY_BITS = 20
 LOW = np.uint64(1 << 31)
 BLOCK_IDS = 1 << 20
 CHECKPOINT_IDS = 1 << 18
 #: A file is closed after so many ids; a reading task decodes the documents that begin in so many ids of a file.
 FILE_IDS = 1 << 26
-CHUNK_IDS = 1 << 22
+CHUNK_IDS = 1 << 23
 
 
 class Frequencies:
@@ -249,28 +249,31 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
     """
 
     def encode(batches):
+        """Documents as rows of kind 0, and at the end how often each id occurs as one row of kind 1."""
         from .tokens import encoder
 
         enc = encoder(tokenizer, special)
         end = np.array([end_id], dtype=enc.dtype).tobytes()
+        total = np.zeros(max(enc.tokenizer.get_vocab_size(), end_id + 1), np.int64)
+        names, width = ["kind", "doc_id", "ids", "width"], enc.dtype.itemsize
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                ids = pa.array([enc.encode(t.as_py()) + end for t in part.column(1)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array([enc.dtype.itemsize] * part.num_rows, pa.int32())], names=["doc_id", "ids", "width"])
-
-    def count(batches):
-        total = np.zeros(1, dtype=np.int64)
-        for b in batches:
-            for at in range(0, b.num_rows, 2000):  # many documents at once: a count is as long as the vocabulary
+            for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
-                for width in set(part.column(1).to_pylist()):
-                    values = np.frombuffer(b"".join(x for x, w in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if w == width), dtype=f"<u{width}")
-                    if len(values):
-                        top = int(values.max()) + 1
-                        if top > len(total):
-                            total = np.concatenate([total, np.zeros(top - len(total), np.int64)])
-                        total[:top] += np.bincount(values)
+                found = [x + end for x in enc.encode_many(part.column(1).to_pylist())]
+                for text in found:
+                    if len(text) > 1 << 20:
+                        total += np.bincount(np.frombuffer(text, enc.dtype), minlength=len(total))
+                total += np.bincount(np.frombuffer(b"".join(x for x in found if len(x) <= 1 << 20), enc.dtype), minlength=len(total))
+                yield pa.RecordBatch.from_arrays([pa.array([0] * len(found), pa.int32()), part.column(0), pa.array(found, pa.binary()), pa.array([width] * len(found), pa.int32())], names=names)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([None], pa.int64()), pa.array([total.astype("<i8").tobytes()]), pa.array([8], pa.int32())], names=names)
+
+    def add(batches):
+        total = np.zeros(0, np.int64)
+        for b in batches:
+            for one in b.column(0):
+                n = np.frombuffer(one.as_buffer(), "<i8")
+                total = n + (total if len(total) else 0)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[found])], names=["id", "n"])
 
@@ -289,8 +292,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
             number += 1
 
     spark = docs.sparkSession
-    encoded = written(only(docs, "doc_id", "text").mapInArrow(tidy(encode, "tokens"), "doc_id long, ids binary, width int"), "ids")
-    counts = encoded.select("ids", "width").mapInArrow(tidy(count), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most the vocabulary
+    encoded = written(only(docs, "doc_id", "text").mapInArrow(tidy(encode, "tokens"), "kind int, doc_id long, ids binary, width int"), "ids")
+    counts = encoded.where("kind = 1").select("ids").mapInArrow(tidy(add), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most the vocabulary
+    encoded = encoded.where("kind = 0").drop("kind")
     table = np.zeros(max((r.id for r in counts), default=0) + 1, dtype=np.int64)
     for r in counts:
         table[r.id] = r.n

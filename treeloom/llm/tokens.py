@@ -13,6 +13,8 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from ._shared import kept_by_workers
 
@@ -21,9 +23,10 @@ CACHE_UNITS = 800_000
 #: Longer units are encoded, but not kept.
 LONGEST_UNIT = 200
 
+#: Characters of texts whose units are looked up together.
+JOINED_CHARS = 1 << 22
+
 _UNITS = re.compile(r"\s+(?=\s\S)|\s+\Z|[^\S ](?=\S)| ?\S+")
-#: Letters, perhaps after one space, and then signs that are no letters, digits, apostrophes or white space.
-_WORD_THEN_SIGNS = re.compile(r"( ?[^\W\d_]+)([^\w\s']*)\Z")
 #: White space that isn't a single space or line feed between other characters.
 _ODD_ASCII = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c")
 _ODD_OTHERS = tuple("\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
@@ -41,7 +44,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = not special
+        self.tokenizer.encode_special_tokens = True  # no unit has such a string, and looking for them takes time
+        self.special = special
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -73,7 +77,10 @@ class Encoder:
         return array(self.dtype.char, ids).tobytes()
 
     def _whole(self, text: str) -> bytes:
-        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        self.tokenizer.encode_special_tokens = not self.special
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.tokenizer.encode_special_tokens = True
+        return self._bytes(ids)
 
     def _text(self, unit: str) -> str:
         """What a unit's name stands for: as a rule the characters with the space that was cut off before them."""
@@ -81,76 +88,70 @@ class Encoder:
             return unit
         return unit[1:] if unit[:1] == "\0" else " " + unit
 
-    def _unit(self, text: str) -> str:
-        """The name of the unit that stands for a text."""
-        if self.kind == "dropped" or text[0] == "\n" and text[1:2].strip():
-            return text
-        return text[1:] if text[0] == " " and text[1:2].strip() else "\0" + text
-
-    def _pieces(self, text: str) -> list[str]:
-        """A unit's text cut where the pre-tokenizer cuts it: a line feed, letters, signs; else as it is."""
-        if self.kind == "spaced" and text[0] == "\n" and text[1:2].strip():
-            return ["\n", *self._pieces(text[1:])]
-        m = _WORD_THEN_SIGNS.match(text)
-        word = m[1] if m else ""
-        if self.kind == "dropped" and (word.isascii() or max(word) < "\u0250"):
-            word = word.lower()
-        if not word.lstrip(" ").isalpha() or not m[2].isascii() or "\u0130" in word:
-            return [text]
-        return [word, m[2]] if m[2] else [word]
-
-    def _joined(self, units: list[str]) -> bytes:
-        """Joined ids of units.  The cache has two generations: what is used again moves to the young one."""
-        young = self.cache
-        try:
-            return b"".join(map(young.__getitem__, units))
-        except KeyError:
-            pass
+    def _found(self, units: list[str]) -> list[bytes]:
+        """Ids of distinct units.  The cache has two generations: what is used again moves to the young one."""
+        if len(self.cache) > CACHE_UNITS:
+            self.old, self.cache = self.cache, {}
+        young, old = self.cache, self.old
         parts = list(map(young.get, units))
-        gaps = [i for i, p in enumerate(parts) if p is None]
-        if len(young) > CACHE_UNITS:
-            self.old, self.cache = young, {}
-            young = self.cache
-        old, of, new, local = self.old, {}, {}, {}
-        for unit in {units[i] for i in gaps}:
+        missing = []
+        for i in [i for i, p in enumerate(parts) if p is None]:
+            unit = units[i]
             if (known := old.get(unit)) is not None:
-                young[unit] = known
-                continue
-            of[unit] = subs = [self._unit(t) for t in self._pieces(self._text(unit))] if unit else []
-            for sub in subs:
-                if sub in young or sub in new:
-                    continue
-                if (known := old.get(sub)) is not None:
-                    young[sub] = known
-                else:
-                    new[sub] = self._text(sub)
-        names = list(new)
-        for at in range(0, len(names), 20_000):
-            some = names[at : at + 20_000]
-            for unit, enc in zip(some, self.tokenizer.encode_batch_fast([new[u] for u in some], add_special_tokens=False)):
-                (young if len(unit) <= LONGEST_UNIT else local)[unit] = self._bytes(enc.ids)
-        for unit, subs in of.items():
-            found = b"".join([local[x] if x in local else young[x] for x in subs])
-            (local if len(unit) > LONGEST_UNIT or any(x in new for x in subs) else young)[unit] = found
-        for i in gaps:
-            u = units[i]
-            parts[i] = local[u] if u in local else young[u]
-        return b"".join(parts)
-
-    def encode(self, text: str | None) -> bytes:
-        """ids of the whole text; none for a null or empty text."""
-        if not text:
-            return b""
-        if self.kind == "whole" or any(c in text for c in "\0\x1c\x1d\x1e\x1f") or any(t in text for t in self.literals):
-            return self._whole(text)
+                young[unit] = parts[i] = known
+            elif unit:
+                missing.append(i)
+            else:
+                parts[i] = b""
+        for at in range(0, len(missing), 20_000):
+            some = missing[at : at + 20_000]
+            names = [units[i] for i in some]
+            for i, unit, enc in zip(some, names, self.tokenizer.encode_batch_fast(list(map(self._text, names)), add_special_tokens=False)):
+                parts[i] = found = array(self.dtype.char, enc.ids).tobytes()
+                if len(unit) <= LONGEST_UNIT:
+                    young[unit] = found
+        return parts
+
+    def _split(self, text: str) -> tuple[str, str]:
+        """A separator and the text whose parts between separators are its units."""
         if self.kind == "dropped":
-            return self._joined(text.replace("\n", " ").split(" "))
+            return " ", text.replace("\n", " ")
         odd = any(c in text for c in _ODD_ASCII) or text[0] in " \n" or text[-1] in " \n" or not text.isascii() and any(c in text for c in _ODD_OTHERS)
         if odd:
-            return self._joined(["\0" + u for u in _UNITS.findall(text)])
-        parts = text.replace("\n", " \n").split(" ")
-        parts[0] = "\0" + parts[0]
-        return self._joined(parts)
+            return "\x1f", "\x1f".join(["\0" + u for u in _UNITS.findall(text)])
+        return " ", "\0" + text.replace("\n", " \n")
+
+    def encode(self, text: str | None) -> bytes:
+        """ids of the whole text; none for a null or empty text."""
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """ids of whole texts.  Units are told apart by Arrow, so a unit is looked up once for many texts."""
+        out, waiting, held = [b""] * len(texts), {}, 0
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if self.kind == "whole" or any(c in text for c in "\0\x1c\x1d\x1e\x1f") or any(t in text for t in self.literals):
+                out[i] = self._whole(text)
+                continue
+            mark, units = self._split(text)
+            waiting.setdefault(mark, []).append((i, units))
+            held += len(text)
+            if held >= JOINED_CHARS:
+                self._encode_units(waiting, out)
+                waiting, held = {}, 0
+        self._encode_units(waiting, out)
+        return out
+
+    def _encode_units(self, waiting: dict[str, list[tuple[int, str]]], out: list[bytes]) -> None:
+        for mark, rows in waiting.items():
+            lists = pc.split_pattern(pa.array([r[1] for r in rows], pa.large_string()), mark)
+            codes = lists.values.dictionary_encode()
+            ids = pa.array(self._found(codes.dictionary.to_pylist()), pa.large_binary()).take(codes.indices)
+            bounds = np.frombuffer(ids.buffers()[1], "<i8", len(ids) + 1)[lists.offsets.to_numpy()].tolist()
+            data = memoryview(ids.buffers()[2])
+            for (i, _), start, stop in zip(rows, bounds, bounds[1:]):
+                out[i] = bytes(data[start:stop])
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
