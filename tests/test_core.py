@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from treeloom.functions import add_maps, concat_array_maps, divide_maps, multiply_maps, truncate_at
 from treeloom.operators import graph, inference, info, mixture, mst, resample, reshape, score, tree
+from treeloom.operators import counts
 from treeloom.operators.counts import _blocked, counts1, counts2
 from treeloom.plans import answer, learn_tree, to_dot
 from treeloom.sources import generate_samples, read_adjacency, read_edge_list, read_observations, read_variables
@@ -42,7 +43,7 @@ def test_unit_weights_and_blocked_counts_agree(obs):
     keys = ["src", "dst", "x", "y"]
     plain = {tuple(r[k] for k in keys): r.n for r in counts2(obs).collect()}
     unit = {tuple(r[k] for k in keys): r.n for r in counts2(obs.withColumn("w", F.lit(1.0))).collect()}
-    block = {tuple(r[k] for k in keys): r.n for r in _blocked(obs, []).collect()}
+    block = {tuple(r[k] for k in keys): r.n for r in _blocked(obs, [], 4).collect()}
     assert plain == unit == block
 
 
@@ -136,6 +137,80 @@ def test_resampling(spark, obs):
     assert mean == pytest.approx(1, abs=0.05)
 
 
+@pytest.mark.parametrize("n", [500, 5000, 50000])
+def test_draws_are_random(spark, n):
+    from treeloom.functions import hash_uniform
+
+    seeds = [0, 1, 7]
+    counts_ = []
+    for seed in seeds:
+        drawn = spark.range(n).select(F.floor(hash_uniform(F.col("id"), seed) * n).alias("i")).groupBy("i").count().collect()
+        c = np.zeros(n)
+        for r in drawn:
+            c[r.i] = r["count"]
+        counts_.append(c)
+        assert (c == 0).mean() == pytest.approx(math.exp(-1), abs=0.05 if n < 1000 else 0.02)
+        assert c.var() == pytest.approx(1, abs=0.25 if n < 1000 else 0.1)
+        assert c.max() >= 4
+    for a in range(3):
+        for b in range(a):
+            # at every shift, by the Fourier transform
+            x, y = (np.fft.rfft(c - c.mean()) for c in (counts_[a], counts_[b]))
+            assert np.abs(np.fft.irfft(x * y.conj(), n)).max() / n <= 6 / math.sqrt(n)
+
+
+def test_poisson_weights_are_poisson(spark):
+    got = Counter(r.w for r in spark.range(20000).select(resample.poisson_weight(F.col("id"), 3).alias("w")).collect())
+    for k in range(5):
+        assert got[float(k)] / 20000 == pytest.approx(math.exp(-1) / math.factorial(k), abs=0.015)
+
+
+def test_resampled_values_are_the_observations(spark, obs):
+    index = resample.resample_index(spark, 200, 4, 5)
+    got = resample.resample(reshape.tidy(obs), index).collect()
+    at = {(r["var"], r.draw): r.obs_id for r in index.collect()}
+    assert len(got) == 800 and all(r.x == SAMPLES[at[r["var"], r.draw]][r["var"]] for r in got)
+    assert len({tuple(at[v, d] for d in range(200)) for v in range(4)}) == 4
+
+
+def test_ragged_and_null_values(spark, monkeypatch):
+    rows = [(0, None), (1, [0.0, 1.0]), (2, [1.0, 1.0, 0.0]), (3, [None, 1.0, 1.0]), (4, []), (5, [1.0, 0.0, 0.0, 1.0])]
+    table = spark.createDataFrame(rows, "obs_id long, xs array<double>")
+    one, two = Counter(), Counter()
+    for _, xs in rows:
+        have = [(v, x) for v, x in enumerate(xs or []) if x is not None]
+        one.update(have)
+        two.update((a, b, x, y) for (a, x), (b, y) in itertools.combinations(have, 2))
+    assert {(r["var"], r.x): r.n for r in counts1(table).collect()} == one
+    keys = ["src", "dst", "x", "y"]
+    for explode, strip in ((40, 64), (1, 64), (1, 2)):
+        monkeypatch.setattr(counts, "EXPLODE_UP_TO", explode)
+        monkeypatch.setattr(counts, "STRIP", strip)
+        assert {tuple(r[k] for k in keys): r.n for r in counts2(table).collect()} == two
+    assert counts2(table.limit(0)).count() == counts1(table.limit(0)).count() == 0
+
+
+def test_more_text_formats(spark, tmp_path):
+    from treeloom.sources import line_count, numbered_lines, read_densities, read_indexed_densities, read_indexed_observations, to_int_list
+
+    (tmp_path / "i").write_text("7,0 1 2\n3, 1 1 1\n")
+    assert {r.obs_id: r.xs for r in read_indexed_observations(spark, f"file://{tmp_path}/i").collect()} == {7: [0, 1, 2], 3: [1, 1, 1]}
+    (tmp_path / "d").write_text("0.5\n0.25\n")
+    assert {r.obs_id: r.p for r in read_densities(spark, f"file://{tmp_path}/d").collect()} == {0: 0.5, 1: 0.25}
+    (tmp_path / "e").write_text("4,0.5\n")
+    assert [tuple(r) for r in read_indexed_densities(spark, f"file://{tmp_path}/e").collect()] == [(4, 0.5)]
+    lines = spark.read.text(f"file://{tmp_path}/d").select("value")
+    assert sorted(r.line for r in numbered_lines(lines).collect()) == ["0,0.5", "1,0.25"] and line_count(spark, f"file://{tmp_path}/d") == 2
+    assert spark.range(1).select(to_int_list(F.array(F.lit("3"), F.lit("4")))).first()[0] == [3, 4]
+
+
+def test_matrix_and_subgraph(obs):
+    edges = graph.mi_edges(obs)
+    back = graph.from_matrix(graph.matrix(edges, 4))
+    assert {(r.src, r.dst): r.weight for r in back.collect()} == pytest.approx({(r.src, r.dst): r.weight for r in edges.collect()})
+    assert reshape.edge_subgraph(edges, edges.where("src = 0")).count() == 3
+
+
 def test_mixture_of_one_tree_is_the_tree(spark, obs):
     model = learn_tree(obs, method="kruskal")
     seen = spark.createDataFrame([(0, 0, 1.0)], "case_id long, var long, x double")

@@ -1,4 +1,4 @@
-"""Scalar expressions on columns: truncation, logarithms, merges of maps, reproducible uniforms."""
+"""Scalar expressions on columns: truncation, merges of maps, reproducible uniforms."""
 
 from __future__ import annotations
 
@@ -12,16 +12,6 @@ def truncate_at(n: Column, digits: int) -> Column:
     return F.floor(n * F.lit(scale)) / F.lit(scale)
 
 
-def log2_safe(p: Column) -> Column:
-    """Base-2 logarithm; null for values of zero or less."""
-    return F.when(p > 0, F.log2(p))
-
-
-def plogp(p: Column) -> Column:
-    """``-p log2 p`` with the limit 0 at 0."""
-    return F.when(p > 0, -p * F.log2(p)).otherwise(F.lit(0.0))
-
-
 def _merge(a: Column, b: Column, both) -> Column:
     """Merge maps by key.  Keys of ``a`` alone pass through; keys of ``b`` alone fall away."""
     merged = F.map_zip_with(a, b, lambda k, x, y: F.when(x.isNull() | y.isNull(), x).otherwise(both(x, y)))
@@ -47,12 +37,7 @@ def concat_array_maps(a: Column, b: Column) -> Column:
     return F.map_zip_with(a, b, lambda k, x, y: F.concat(F.coalesce(x, empty), F.coalesce(y, empty)))
 
 
-#: Multiplier, increment and modulus of the linear congruence (fixed values).
-LCG_A, LCG_C, LCG_M = 1103515245, 12345, 2147483648
-
-
 def hash_uniform(number: Column, seed: int = 0) -> Column:
-    """A reproducible value in [0, 1) of a non-negative whole number: two steps of a linear congruence."""
-    one = F.pmod((F.pmod(number, F.lit(LCG_M)) + F.lit(seed)) * F.lit(LCG_A) + F.lit(LCG_C), F.lit(LCG_M))
-    two = F.pmod(one * F.lit(LCG_A) + F.lit(LCG_C), F.lit(LCG_M))
-    return two / F.lit(float(LCG_M))
+    """A reproducible value in [0, 1) of a whole number and a seed: the first 48 bits of an MD5 digest."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), number.cast("string")))
+    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))

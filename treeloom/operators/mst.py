@@ -2,7 +2,9 @@
 
 Edges are totally ordered by (weight, src, dst), so every method gives the same tree.  ``kruskal`` and ``prim`` solve
 one graph per task, next to its edges; ``boruvka`` (and its message-passing sibling ``ghs``) works by keyed minima over
-all edges and suits graphs that exceed a task.  ``auto`` counts the edges and decides.
+all edges and suits graphs that exceed a task.  ``ghs`` names the same rounds: what the message-passing algorithm
+computes in them, the least edge that leaves each vertex and each fragment, are ``vertex_minimum`` and
+``fragment_minimum``.  ``auto`` counts the edges and decides.
 """
 
 from __future__ import annotations
@@ -88,13 +90,13 @@ def _boruvka(edges: DataFrame, by: list[str]) -> DataFrame:
         # chosen links form trees in which exactly one pair of components points at each other: the smaller one is the root
         back = least.select(*by, F.col("comp").alias("to"), F.col("to").alias("back"))
         up = least.join(back, [*by, "to"]).select(*by, "comp", F.when((F.col("back") == F.col("comp")) & (F.col("comp") < F.col("to")), F.col("comp")).otherwise(F.col("to")).alias("to"))
+        up = saved(up, "pointers")
         while True:  # pointer jumping: depth halves each time
-            up = saved(up, "pointers")
             on = up.select(*by, F.col("comp").alias("to"), F.col("to").alias("further"))
-            nxt = up.join(on, [*by, "to"]).select(*by, "comp", F.col("further").alias("to"))
-            if up.join(on, [*by, "to"]).where("further <> to").isEmpty():
+            step = saved(up.join(on, [*by, "to"]).select(*by, "comp", "to", "further"), "pointers")
+            if step.where("further <> to").isEmpty():
                 break
-            up = nxt
+            up = step.select(*by, "comp", F.col("further").alias("to"))
         labels = saved(labels.join(up, [*by, "comp"], "left").select(*by, "id", F.coalesce("to", "comp").alias("comp")), "components")
     if tree is None:
         return edges.limit(0)

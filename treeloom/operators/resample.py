@@ -14,12 +14,15 @@ def bootstrap_index(spark, n: int, seed: int = 0) -> DataFrame:
 
 
 def bootstrap_weights(obs: DataFrame, n: int, seeds: list[int]) -> DataFrame:
-    """Add ``w0, w1, ...``: how often each observation (0..n-1) is drawn for each seed; samples aren't copied."""
-    out = obs
-    for k, seed in enumerate(seeds):
-        drawn = bootstrap_index(obs.sparkSession, n, seed).groupBy("obs_id").agg(F.count("*").cast("double").alias(f"w{k}"))
-        out = out.join(drawn, "obs_id", "left").fillna(0.0, [f"w{k}"])
-    return out
+    """Add ``w0, w1, ...``: how often each observation (0..n-1) is drawn for each seed.
+
+    Samples aren't copied: the draws of all seeds are counted side by side and joined once.
+    """
+    draws = F.array(*[F.struct(F.lit(k).alias("k"), F.floor(hash_uniform(F.col("id"), seed) * n).alias("obs_id")) for k, seed in enumerate(seeds)])
+    drawn = obs.sparkSession.range(n).select(F.explode(draws).alias("d")).select("d.*")
+    names = [f"w{k}" for k in range(len(seeds))]
+    counted = drawn.groupBy("obs_id").agg(*[F.sum(F.when(F.col("k") == k, 1.0).otherwise(0.0)).alias(c) for k, c in enumerate(names)])
+    return obs.join(counted, "obs_id", "left").fillna(0.0, names)
 
 
 def poisson_weight(number: Column, seed: int = 0, most: int = 12) -> Column:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import saved
+
 
 def empirical_density(obs: DataFrame) -> DataFrame:
     """``obs_id, p``: frequency of each observation's whole tuple."""
-    same = Window.partitionBy("xs")
-    n = obs.agg(F.count("*").alias("rows"))
-    return obs.select("obs_id", F.count("*").over(same).alias("n")).join(n).select("obs_id", (F.col("n") / F.col("rows")).alias("p"))
+    same = saved(obs.groupBy(F.col("xs").alias("all")).agg(F.count("*").alias("n")), "tuples")
+    rows = same.agg(F.sum("n")).first()[0] or 1
+    # counts come from partial sums; a frequent tuple's rows can be split in the join
+    return obs.join(same, F.col("xs") == F.col("all")).select("obs_id", (F.col("n") / rows).alias("p"))
 
 
 def mean_tree_kl(ll: DataFrame, densities: DataFrame) -> DataFrame:

@@ -6,10 +6,12 @@ from .text import (
     line_count,
     log_density_lines,
     number_lines,
+    numbered_lines,
     read_adjacency,
     read_densities,
     read_edge_list,
     read_indexed_densities,
+    read_indexed_observations,
     read_observations,
     read_variables,
     repeat_columns,
@@ -26,11 +28,13 @@ __all__ = [
     "lineitem_codes",
     "log_density_lines",
     "number_lines",
+    "numbered_lines",
     "order_codes",
     "read_adjacency",
     "read_densities",
     "read_edge_list",
     "read_indexed_densities",
+    "read_indexed_observations",
     "read_observations",
     "read_variables",
     "repeat_columns",

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def embedding_signs(embeddings: DataFrame, variables: int = 16) -> DataFrame:
-    """Signs (0 or 1) of the first components of each vector."""
-    signs = F.transform(F.slice("embedding", 1, variables), lambda x: F.when(x > 0, 1.0).otherwise(0.0))
+def embedding_signs(embeddings: DataFrame) -> DataFrame:
+    """Signs (0 or 1) of all components of each vector."""
+    signs = F.transform("embedding", lambda x: F.when(x > 0, 1.0).otherwise(0.0))
     return embeddings.select(F.col("vec_id").alias("obs_id"), signs.alias("xs"))
 
 

@@ -26,6 +26,11 @@ def read_variables(spark: SparkSession, path: str, label_delimiter: str = ",", d
     return rows.select(F.trim(F.substring(line, F.lit(1), cut - 1)).cast("double").cast("long").alias("var"), _numbers(F.substring(line, cut + 1, F.length(line)), delimiter).alias("xs"))
 
 
+def read_indexed_observations(spark: SparkSession, path: str, label_delimiter: str = ",", delimiter: str = " ") -> DataFrame:
+    """``obs_id, xs`` of ``id,v v v`` lines."""
+    return read_variables(spark, path, label_delimiter, delimiter).withColumnRenamed("var", "obs_id")
+
+
 def read_observations(spark: SparkSession, path: str, delimiter: str = ";") -> DataFrame:
     """``obs_id, xs`` of ``v; v; v`` lines, numbered from 0 in the order of files and lines."""
     lines = spark.read.text(path).where(F.length(F.trim("value")) > 0).select("value")
@@ -116,5 +121,10 @@ def write_lines(df: DataFrame, column: str, path: str) -> None:
     df.select(F.col(column).cast("string").alias("value")).write.mode("overwrite").text(path)
 
 
+def numbered_lines(lines: DataFrame) -> DataFrame:
+    """``line`` of ``value`` lines: ``i,line`` with numbers from 0."""
+    return number_lines(lines).select(F.concat(F.col("line_no").cast("string"), F.lit(","), "value").alias("line"))
+
+
 def to_int_list(strings: Column) -> Column:
     return strings.cast("array<int>")
