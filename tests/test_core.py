@@ -257,6 +257,18 @@ def test_maps_and_truncation(spark):
     assert row.t == pytest.approx(-0.12345679)
 
 
+def test_timings_of_generated_samples(spark):
+    from treeloom.plans import time_methods, time_mixtures
+
+    rows = time_methods(spark, [6, 70], ["kruskal", "prim"], samples=60, repeat=1).collect()
+    found = {(r.variables, r.method): r for r in rows}
+    for v in (6, 70):
+        assert found[v, "information"].edges == v * (v - 1) // 2
+        assert found[v, "kruskal"].edges == found[v, "prim"].edges == v - 1
+        assert found[v, "kruskal"].weight == pytest.approx(found[v, "prim"].weight) and found[v, "prim"].seconds > 0
+    assert {(r.variables, r.method) for r in time_mixtures(spark, [5], trees=2, samples=40, repeat=1).collect()} == {(5, "kruskal"), (5, "prim")}
+
+
 def test_divergence_of_itself_is_zero(obs):
     p = info.pmf(counts1(obs))
     assert all(abs(r.kl) < 1e-12 for r in score.divergence(p, p).collect())

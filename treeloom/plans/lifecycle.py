@@ -1,20 +1,23 @@
-"""Lifecycles that chain the operators; each reads the samples once for all counts."""
+"""Lifecycles that chain the operators."""
 
 from __future__ import annotations
 
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.counts import counts1, counts2
+from ..operators.graph import mi_edges
 from ..operators.inference import infer, load, log_likelihood
 from ..operators.info import mutual_information
 from ..operators.mixture import mcl_b
 from ..operators.mst import mst
+from ..operators.reshape import by_observation
 from ..operators.score import kl_curve
 from ..operators.tree import orient, tables
+from ..sources import generate_samples
 from ..storage import saved
 
 
@@ -54,6 +57,42 @@ def compare_methods(edges: DataFrame, methods: list[str], repeat: int = 3) -> Da
     return edges.sparkSession.createDataFrame(rows, "method string, edges long, weight double, seconds double")
 
 
+def _generated(spark: SparkSession, variables: int, samples: int, values: int, seed: int) -> DataFrame:
+    """``obs_id, xs`` of random samples with ``values`` values."""
+    return saved(by_observation(generate_samples(spark, variables, samples, 0, values - 1, seed)), "samples")
+
+
+def time_methods(spark: SparkSession, sizes: list[int], methods: list[str], samples: int = 500, values: int = 2, repeat: int = 3) -> DataFrame:
+    """``variables, method, edges, weight, seconds``: spanning trees of random samples with so many variables.
+
+    The dependency graph itself is the row with the method ``information``.
+    """
+    rows = []
+    for variables in sizes:
+        obs = _generated(spark, variables, samples, values, variables)
+        began = time.perf_counter()
+        edges = saved(mi_edges(obs, digits=8), "edges")
+        rows.append((variables, "information", edges.count(), None, time.perf_counter() - began))
+        rows += [(variables, r.method, r.edges, r.weight, r.seconds) for r in compare_methods(edges, methods, repeat).collect()]
+    return spark.createDataFrame(rows, "variables int, method string, edges long, weight double, seconds double")
+
+
+def time_mixtures(spark: SparkSession, sizes: list[int], trees: int = 10, methods: tuple[str, ...] = ("kruskal", "prim"), samples: int = 500, values: int = 2, repeat: int = 3) -> DataFrame:
+    """``variables, method, rows, seconds``: mean wall time to learn a mixture of ``trees`` bootstrapped trees, by method."""
+    rows = []
+    for variables in sizes:
+        obs = _generated(spark, variables, samples, values, variables)
+        for method in methods:
+            took = []
+            for _ in range(repeat):
+                began = time.perf_counter()
+                _, cpt = mcl_b(obs, samples, list(range(trees)), method=method)
+                n = cpt.count()
+                took.append(time.perf_counter() - began)
+            rows.append((variables, method, n, sum(took) / len(took)))
+    return spark.createDataFrame(rows, "variables int, method string, rows long, seconds double")
+
+
 def kl_by_trees(train: DataFrame, n: int, test: DataFrame, densities: DataFrame, sizes: list[int], seeds: list[int] | None = None) -> DataFrame:
     """``trees, kl``: divergence of bootstrapped mixtures by their number of trees."""
     tree, cpt = mcl_b(train, n, seeds or list(range(max(sizes))))

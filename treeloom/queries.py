@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .operators import graph, info, inference, mixture, mst, resample, reshape, score, tree
 from .operators.counts import counts1, counts2
-from .plans.lifecycle import compare_methods, kl_by_trees, learn_tree
+from .plans.lifecycle import compare_methods, kl_by_trees, learn_tree, time_mixtures
 from .functions import concat_array_maps
 from .sources import (
     embedding_signs,
@@ -770,6 +770,12 @@ def bench_mst(spark, sf_dir):
     return compare_methods(graph.mi_edges(_e(spark, sf_dir), digits=8), ["kruskal", "prim", "boruvka"], 1).select("method", "edges", _r("weight"))
 
 
+@_query()
+def bench_mixture(spark, sf_dir):
+    """Timing of mixtures; without the seconds, which differ from run to run."""
+    return time_mixtures(spark, [10], trees=3, repeat=1).select("variables", "method", "rows")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dependency tree of the embeddings' signs."""
     return _QUERIES["mst_kruskal"](spark, sf_dir)
