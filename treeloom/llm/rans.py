@@ -257,8 +257,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
         total = np.zeros(max(enc.tokenizer.get_vocab_size(), end_id + 1), np.int64)
         names, width = ["kind", "doc_id", "ids", "width"], enc.dtype.itemsize
         for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
+            for at in range(0, b.num_rows, 5000):
+                part = b.slice(at, 5000)
                 found = [x + end for x in enc.encode_many(part.column(1).to_pylist())]
                 for text in found:
                     if len(text) > 1 << 20:

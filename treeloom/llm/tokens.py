@@ -24,7 +24,7 @@ CACHE_UNITS = 800_000
 LONGEST_UNIT = 200
 
 #: Characters of texts whose units are looked up together.
-JOINED_CHARS = 1 << 22
+JOINED_CHARS = 1 << 24
 
 _UNITS = re.compile(r"\s+(?=\s\S)|\s+\Z|[^\S ](?=\S)| ?\S+")
 #: White space that isn't a single space or line feed between other characters.
