@@ -10,7 +10,7 @@ keys (24 bits and the pair's number); candidates of a bucket are verified by the
 Exact copies are folded before (one row per distinct fingerprint), and a bucket yields a spanning forest of its links
 rather than all pairs, so groups of thousands of copies stay linear.
 
-``near_duplicates`` links by the distance of fingerprints.  ``similar_documents`` takes the same buckets, of two
+``near_duplicates`` links by the distance of fingerprints.  ``similar_documents`` takes the same buckets, of three
 fingerprints, as candidates for a similarity of shingle sets.
 """
 
@@ -222,8 +222,8 @@ def fingerprint_hex(fp):
 
 # ---------------------------------------------------------------- by similarity of shingle sets
 
-#: Bits of 128 in which two fingerprint pairs of one bucket may differ to be compared by their sketches.
-LOOSE_BITS = 31
+#: Bits of 192 in which the three fingerprints of two texts of one bucket may differ to be compared by their sketches.
+LOOSE_BITS = 48
 #: Smallest shingle hashes of a set that are compared before the whole set is.
 SKETCH = 256
 #: A pair is compared by its whole sets if its sketches' similarity is at most so many standard errors too low.
@@ -248,19 +248,20 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _print(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """One number for each pair of fingerprints."""
-    return _mixed(a ^ _mixed(b))
+def _print(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """One number for each triple of fingerprints."""
+    return _mixed(a ^ _mixed(b ^ _mixed(c)))
 
 
-def describe(text: str | None, width: int) -> tuple[int, int, np.ndarray]:
-    """Two fingerprints of the distinct shingles, and their 64-bit hashes in ascending order.
+def describe(text: str | None, width: int) -> tuple[int, int, int, np.ndarray]:
+    """Three fingerprints of the distinct shingles, and their 64-bit hashes in ascending order.
 
     How often a shingle occurs doesn't count, as in the similarity of sets.
     """
     first = np.unique(np.concatenate([np.zeros(0, np.uint64), *map(np.unique, shingle_hashes(text, width))]))
-    second = np.sort(_mixed(first))
-    return _majority(_set_bits(first), len(first)), _majority(_set_bits(second), len(second)), second
+    second = _mixed(first)
+    third = _mixed(second)
+    return *(_majority(_set_bits(h), len(h)) for h in (first, second, third)), np.sort(second)
 
 
 def _estimated(one: np.ndarray, flat: np.ndarray, row: np.ndarray, tops: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -295,23 +296,23 @@ def _similar(docs: DataFrame, width: int, least: float, block: int) -> tuple[Dat
                 part = b.slice(at, 1000)
                 rows = []
                 for t in part.column(2):
-                    one, two, hashes = describe(t.as_py(), width)
-                    rows.append((one, two, *_digest(hashes.tobytes()), len(hashes)))
-                found = np.array([[x - (1 << 64) if x >> 63 else x for x in r] for r in rows], dtype=np.int64).reshape(-1, 5)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(found[:, k].copy()) for k in range(5)]], names=["doc_id", "mark", "a", "b", "d", "e", "n"])
+                    *prints, hashes = describe(t.as_py(), width)
+                    rows.append((*prints, *_digest(hashes.tobytes()), len(hashes)))
+                found = np.array([[x - (1 << 64) if x >> 63 else x for x in r] for r in rows], dtype=np.int64).reshape(-1, 6)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(found[:, k].copy()) for k in range(6)]], names=["doc_id", "mark", "a", "b", "c", "d", "e", "n"])
 
     def spread(batches):
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
-                for f in (0, 1):
+                for f in (0, 1, 2):
                     rows, keys = bucket_keys(part.column(f).to_numpy(zero_copy_only=False).view(np.uint64))
                     taken = part.take(pa.array(rows))
-                    yield pa.RecordBatch.from_arrays([pa.array((keys + (3 * f << 24)).astype(np.int32)), taken.column(0), taken.column(1)], names=["key", "a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array((keys + (3 * f << 24)).astype(np.int32)), *taken.columns], names=["key", "a", "b", "c"])
 
     def loose(batches):
         for rows in whole_buckets(batches):
-            out = [np.zeros((0, 4), np.uint64)]
+            out = [np.zeros((0, 6), np.uint64)]
             for left in shared_buckets(rows.view(np.uint64)):
                 while len(left) > 1:
                     queue, left = [left[0]], left[1:]
@@ -324,7 +325,7 @@ def _similar(docs: DataFrame, width: int, least: float, block: int) -> tuple[Dat
                             queue.extend(found)
                             left = left[~near]
             both = np.concatenate(out)
-            yield pa.RecordBatch.from_arrays([pa.array(_print(both[:, k], both[:, k + 1]).view(np.int64)) for k in (0, 2)], names=["src", "dst"])
+            yield pa.RecordBatch.from_arrays([pa.array(_print(*both[:, k : k + 3].T).view(np.int64)) for k in (0, 3)], names=["src", "dst"])
 
     def shingle(batches):
         for b in batches:
@@ -332,7 +333,7 @@ def _similar(docs: DataFrame, width: int, least: float, block: int) -> tuple[Dat
                 part = b.slice(at, 100)
                 sets, right = [], []
                 for d, t in zip(part.column(3).to_pylist(), part.column(4)):
-                    hashes = describe(t.as_py(), width)[2].tobytes()
+                    hashes = describe(t.as_py(), width)[-1].tobytes()
                     sets.append(hashes)
                     right.append(_digest(hashes)[0] == d)  # not another text with the same mark
                 found = pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(sets, pa.binary())], names=["component", "node", "blocks", "shingles"])
@@ -354,16 +355,16 @@ def _similar(docs: DataFrame, width: int, least: float, block: int) -> tuple[Dat
 
     def named(batches):
         for b in batches:
-            found = _print(*(b.column(k).to_numpy().view(np.uint64) for k in (2, 3)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found.view(np.int64))], names=["doc_id", "mark", "a", "b", "d", "e", "n", "print"])
+            found = _print(*(b.column(k).to_numpy().view(np.uint64) for k in (2, 3, 4)))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found.view(np.int64))], names=["doc_id", "mark", "a", "b", "c", "d", "e", "n", "print"])
 
     # the mark finds a class's text again, whose complete set is needed only if the class has candidates
     texts = _marked(docs)
-    prints = written(texts.mapInArrow(tidy(lambda bs: named(spell(bs))), "doc_id long, mark long, a long, b long, d long, e long, n long, print long"), "prints")
+    prints = written(texts.mapInArrow(tidy(lambda bs: named(spell(bs))), "doc_id long, mark long, a long, b long, c long, d long, e long, n long, print long"), "prints")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
-    folded = prints.groupBy("d", "e").agg(F.min(order).alias("first"), F.min("mark").alias("mark"), F.min_by(F.struct("a", "b", "n", "print"), "mark").alias("of"))
+    folded = prints.groupBy("d", "e").agg(F.min(order).alias("first"), F.min("mark").alias("mark"), F.min_by(F.struct("a", "b", "c", "n", "print"), "mark").alias("of"))
     classes = written(folded.select("d", "e", "first", "mark", "of.*").withColumn("node", F.xxhash64("d", "e")), "classes")
-    keyed = classes.select("a", "b").distinct().mapInArrow(tidy(spread), "key int, a long, b long")
+    keyed = classes.select("a", "b", "c").distinct().mapInArrow(tidy(spread), "key int, a long, b long, c long")
     near = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(lambda bs: thin(loose(bs))), "src long, dst long")
     groups = connected_components(near).withColumnRenamed("node", "m")
     # a fingerprint without links can still have several classes
@@ -396,7 +397,7 @@ def _marked(docs: DataFrame) -> DataFrame:
 def similar_documents(docs: DataFrame, width: int = 5, least: float = 0.8, block: int = 2048) -> DataFrame:
     """``doc_id, component_id``: documents linked by a similarity of ``least`` or more of their sets of shingles.
 
-    Candidates share a Golay bucket of one of two fingerprints and differ in few of all 128 bits; what they connect is
+    Candidates share a Golay bucket of one of three fingerprints and differ in few of all 192 bits; what they connect is
     compared again by the complete sets of shingle hashes, block against block, and only those links count.  Sketches
     of the sets only spare comparisons of pairs far below ``least``.
     Documents with equal sets (by a digest of 128 bits) are one class from the start; classes with equal fingerprints
