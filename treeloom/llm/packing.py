@@ -49,8 +49,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
         enc = encoder(tokenizer, special)
         names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
         for b in batches:
-            for at in range(0, b.num_rows, 5000):
-                part, cols = b.slice(at, 5000), [[] for _ in names]
+            for at in range(0, b.num_rows, 1500):
+                part, cols = b.slice(at, 1500), [[] for _ in names]
                 for doc_id, found in zip(part.column(0).to_pylist(), enc.encode_many(part.column(1).to_pylist())):
                     ids = np.append(np.frombuffer(found, dtype=enc.dtype).astype("<u4"), np.uint32(end_id)).astype("<u4")
                     for n, start in enumerate(range(0, len(ids), capacity)):
