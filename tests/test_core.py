@@ -211,6 +211,25 @@ def test_matrix_and_subgraph(obs):
     assert reshape.edge_subgraph(edges, edges.where("src = 0")).count() == 3
 
 
+def test_matrix_rounds_as_its_sql(spark, tmp_path):
+    """Weights that are halves at 8 digits: -0.28944499857 and -0.00056500388, which DuckDB writes -0.28945 and -0.00056."""
+    import duckdb
+
+    from treeloom import queries
+
+    columns = []
+    for both, first, second, neither in ((2, 26, 36, 16), (1, 8, 10, 61)):
+        columns += [[1] * (both + first) + [-1] * (second + neither), [1] * both + [-1] * first + [1] * second + [-1] * neither]
+    rows = [(i, [float(c[i]) for c in columns] + [-1.0] * 60) for i in range(80)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    con.execute(f"COPY embeddings TO '{tmp_path}/embeddings.parquet' (FORMAT parquet)")
+    wanted = dict(con.execute(queries.oracle_sql()["mi_matrix"]).fetchall())
+    assert wanted[0].split()[1] == "-0.28945" and wanted[2].split()[3] == "-0.00056"
+    assert {r.src: r.line for r in queries.mi_matrix(spark, str(tmp_path)).collect()} == wanted
+
+
 def test_mixture_of_one_tree_is_the_tree(spark, obs):
     model = learn_tree(obs, method="kruskal")
     seen = spark.createDataFrame([(0, 0, 1.0)], "case_id long, var long, x double")

@@ -71,6 +71,12 @@ def _r(column: str, digits: int = 6):
     return (F.round(column, digits) + F.lit(0.0)).alias(column)
 
 
+def _scaled(value, digits: int):
+    """Rounded through a multiple, as DuckDB does; ``F.round`` goes by decimal digits and takes some halves the other way."""
+    scale = F.lit(float(10**digits))
+    return F.round(value * scale) / scale + F.lit(0.0)
+
+
 # ---------------------------------------------------------------- SQL parts
 
 
@@ -289,8 +295,9 @@ def ghs_weighted_graph(spark, sf_dir):
 
 @_query(_with(_E(), _INFO) + "SELECT a.i AS src, string_agg(format('{:.5f}', coalesce(CASE WHEN b.i > a.i THEN round(weight, 5) + 0.0 END, 0.0)), ' ' ORDER BY b.i) AS line FROM range(63) a(i) CROSS JOIN range(64) b(i) LEFT JOIN edges ON src = a.i AND dst = b.i GROUP BY a.i")
 def mi_matrix(spark, sf_dir):
-    rows = graph.matrix(graph.mi_edges(_e(spark, sf_dir)), 64)
-    return rows.select("src", F.array_join(F.transform("row", lambda w: F.format_string("%.5f", F.round(w, 5) + F.lit(0.0))), " ").alias("line"))
+    """Of edges rounded to 8 digits, as in the SQL; a weight's text is rounded once more."""
+    rows = graph.matrix(graph.mi_edges(_e(spark, sf_dir), digits=8), 64)
+    return rows.select("src", F.array_join(F.transform("row", lambda w: F.format_string("%.5f", _scaled(w, 5))), " ").alias("line"))
 
 
 _MST_SQL = _with(_E(), _INFO, _TREE, recursive=True) + "SELECT src, dst, round(weight, 6) + 0.0 AS weight FROM mst"
